@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactloom.llm import exact_dedup, license_scan, mixing, url_filter
+from contactloom.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, toxicity, url_filter
 from contactloom.session import prepare, table
 
 
@@ -25,6 +26,22 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(prepare(spark), sf_dir, "pages")).drop("hits")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    prepare(spark)
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, group and links of every document."""
+    return ngram_join.near_groups(table(prepare(spark), sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, encoded and decoded again."""
+    return bpe.digests(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     planned = mixing.plan(table(prepare(spark), sf_dir, "documents"))

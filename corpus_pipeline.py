@@ -6,10 +6,18 @@ return the columns of their input.
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactloom.llm import exact_dedup, mixing
-from contactloom.session import prepare
+from contactloom.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from contactloom.session import prepare, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return toxicity.clean(docs, table(prepare(spark), sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,13 +26,31 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts stays."""
+    prepare(spark)
+    return ngram_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
     prepare(spark)
     return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", drop_copies), ("mixing", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded."""
+    prepare(spark)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
 
 #: The learned and sketched stages are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -32,13 +58,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet and read again."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getCheckpointDir()
+    docs = table(prepare(spark), sf_dir, "documents")
+    # the checkpoint folder is the one that executors and driver share
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place + 1 < len(STAGES):
-            path = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}/{place}-{name}"
+            path = f"{folder}/{place}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
