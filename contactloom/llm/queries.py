@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactloom.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, toxicity, url_filter
+from contactloom.llm import bpe, exact_dedup, license_scan, media, mixing, ngram_join, secret_scan, toxicity, url_filter
 from contactloom.session import prepare, table
 
 
@@ -16,11 +16,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(prepare(spark), sf_dir, "documents")).drop("n_chars")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive image, read back."""
+    return media.digests(media.media(table(prepare(spark), sf_dir, "documents")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License detections of every document."""
     return license_scan.digest(license_scan.scan(table(prepare(spark), sf_dir, "documents")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.digest(secret_scan.secrets(table(prepare(spark), sf_dir, "documents")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_filter.judge(table(prepare(spark), sf_dir, "pages")).drop("hits")
