@@ -229,11 +229,15 @@ def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     return rows.mapInPandas(run, f"id {kind}, base array<struct<{span}>>, findings array<struct<{span}, score: double>>").withColumnRenamed("id", id)
 
 
+def _of_kind(kind: str):
+    return F.filter("base", lambda s: s["kind"] == kind)
+
+
 def digest(found: DataFrame, id: str = "doc_id") -> DataFrame:
     """Counts of base findings, their digest, and all spans."""
 
     def joined(name: str):
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k, *_ in BASE]
+    counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k, *_ in BASE]
     return found.select(F.col(id), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("findings").alias("spans"))
