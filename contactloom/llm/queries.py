@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contactloom.llm import bpe, exact_dedup, license_scan, media, mixing, ngram_join, secret_scan, toxicity, url_filter
+from contactloom.llm import bpe, exact_dedup, html_text, license_scan, media, mixing, ngram_join, secret_scan, toxicity, url_filter
 from contactloom.session import prepare, table
 
 
@@ -31,6 +32,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(table(prepare(spark), sf_dir, "documents")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).drop("html").withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_filter.judge(table(prepare(spark), sf_dir, "pages")).drop("hits")
