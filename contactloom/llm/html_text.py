@@ -21,6 +21,7 @@ page; unclosed and stray tags are accepted; repeated rows are read each.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -72,6 +73,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("page", None, frozenset())]
         self.open, self.silent, self.links = [self.nodes[0]], [], 0
+        self.opened: Counter[str] = Counter()
         self.feed(html)
         self.close()
 
@@ -96,9 +98,10 @@ class Tree(HTMLParser):
         self.open[-1].children.append(node)
         self.nodes.append(node)
         self.open.append(node)
+        self.opened[tag] += 1
 
     def _leave(self) -> None:
-        self.open.pop()
+        self.opened[self.open.pop().tag] -= 1
         self.links = 0
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -116,7 +119,7 @@ class Tree(HTMLParser):
             self.links = max(0, self.links - 1)
         if tag in INLINE or tag in VOID:
             return
-        if any(n.tag == tag for n in self.open[1:]):
+        if self.opened[tag]:
             while self.open[-1].tag != tag:
                 self._leave()
             self._leave()
@@ -315,11 +318,16 @@ def blocks(nodes: list[Node], kept: list[bool]) -> list[str]:
     """Kept texts in page order: a block's own text is cut where child blocks stand."""
     out = []
     place = {id(n): i for i, n in enumerate(nodes)}
+    cut: dict[int, dict[int, list[str]]] = {}
     stack: list[tuple[Node, int]] = [(nodes[0], 0)]
     while stack:
         node, at = stack.pop()
         if kept[place[id(node)]]:
-            text = _space.sub(" ", "".join(t for k, t in node.parts if k == at)).strip() if node.parts else ""
+            if at == 0:
+                cut[place[id(node)]] = grouped = {}
+                for k, t in node.parts:
+                    grouped.setdefault(k, []).append(t)
+            text = _space.sub(" ", "".join(cut[place[id(node)]].get(at, ()))).strip()
             if text:
                 out.append(text)
         if at < len(node.children):
