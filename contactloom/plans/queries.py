@@ -193,7 +193,7 @@ def est_sim_pcc(spark, d):
 _ENDS = "(SELECT chrom, x AS pos FROM cis UNION ALL SELECT chrom, y FROM cis)"
 
 
-@plan(f", s AS (SELECT chrom, at, sum(step) AS step FROM (SELECT chrom, pos - 50 AS at, 1 AS step FROM {_ENDS} UNION ALL SELECT chrom, pos + 50, -1 FROM {_ENDS}) GROUP BY ALL HAVING sum(step) <> 0), r AS (SELECT chrom, at AS start, lead(at) OVER w AS e, sum(step) OVER w AS depth FROM s WINDOW w AS (PARTITION BY chrom ORDER BY at)) SELECT chrom, start, e AS \"end\", depth::BIGINT AS depth FROM r WHERE depth > 0")
+@plan(f", s AS (SELECT chrom, pos, sum(step) AS step FROM (SELECT chrom, pos - 50 AS pos, 1 AS step FROM {_ENDS} UNION ALL SELECT chrom, pos + 50, -1 FROM {_ENDS}) GROUP BY ALL HAVING sum(step) <> 0), r AS (SELECT chrom, pos AS start, lead(pos) OVER w AS e, sum(step) OVER w AS depth FROM s WINDOW w AS (PARTITION BY chrom ORDER BY pos)) SELECT chrom, start, e AS \"end\", depth::BIGINT AS depth FROM r WHERE depth > 0")
 def coverage_bdg(spark, d):
     return intervals.coverage(_pets(spark, d))
 
