@@ -6,7 +6,8 @@
 2. Class representatives get a MinHash signature, cut into bands. Band and row
    counts are the cheapest that find a pair at the threshold with the target
    recall. Representatives meet on (band, band hash); buckets of one are dropped.
-3. A pair that shares several buckets is verified once, on the full n-gram sets.
+3. A pair that shares several buckets is verified once, on the full n-gram sets,
+   which are made again from the texts of those representatives alone.
 
 Links are between classes; ``links`` lists the linked representatives of a
 document's class and ``n_links`` counts them. ``group_id`` is the smallest id of
@@ -21,6 +22,7 @@ result. Repeated rows appear each.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,11 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contactloom.session import prepare
 
 #: Words in an n-gram, similarity of a link, recall of a pair exactly at it.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
+#: Ids of representatives in pairs that may be broadcast (16 bytes each); more of them are shuffled.
+BROADCAST_IDS = 1_000_000
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -85,64 +90,74 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _grams(docs: DataFrame, id: str, text: str, n: int) -> DataFrame:
-    """id, grams, and two hashes that stand for the whole set."""
+def _signed(docs: DataFrame, id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
+    """id, key (a digest of the n-gram set), size and band hashes of every row: the sets themselves are not shipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            flat = np.concatenate([*sets, np.empty(0, dtype=np.int64)])
+            flat = [band_hashes(g, bands, rows) if len(g) else g for g in sets]
+            ends = np.cumsum([0] + [len(f) for f in flat]).astype(np.int32)
+            hashes = pa.array(np.concatenate([*flat, np.empty(0, dtype=np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "grams"]
+                [
+                    batch.column(0),
+                    pa.array([_digest(g) for g in sets], pa.binary()),
+                    pa.array([len(g) for g in sets], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), hashes),
+                ],
+                names=["id", "key", "n", "bands"],
             )
 
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text))
-    made = rows.mapInArrow(run, "id long, grams array<bigint>")
-    joined = F.concat_ws(",", F.col("grams").cast("array<string>"))
-    return made.withColumn("key", F.sha2(joined, 256))
+    return _narrow(docs, id, text).mapInArrow(run, "id long, key binary, n int, bands array<bigint>")
+
+
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, n, band hash), one row for each band."""
+def _narrow(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """id, key and n-gram set of these rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = batch.column(1)
-            flat = [band_hashes(g.values.to_numpy(), bands, rows) for g in grams]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(0).to_numpy(), bands)),
-                    pa.array(np.repeat(np.array([len(g) for g in grams], dtype=np.int32), bands)),
-                    pa.array(np.tile(np.arange(bands, dtype=np.int32), len(grams))),
-                    pa.array(np.concatenate([*flat, np.empty(0, dtype=np.int64)])),
-                ],
-                names=["id", "n", "band", "h"],
-            )
+            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            flat = pa.array(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))
+            keys = pa.array([_digest(g) for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "key", "grams"])
 
-    return sets.select("id", "grams").mapInArrow(run, "id long, n int, band int, h long")
+    return rows.mapInArrow(run, "id long, key binary, grams array<bigint>")
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY,
          recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(members, links): id and class_id of every row; a, b and jaccard of linked classes, a < b."""
     prepare(docs.sparkSession)
-    rows = _grams(docs, id, text, n)
-    # only the smallest id of a class carries its set on; map-side combined
-    classes = rows.where("id IS NOT NULL").groupBy("key").agg(F.min_by("grams", "id").alias("grams"), F.min("id").alias("class_id"))
-    classes = classes.checkpoint()
-    members = rows.select("id", "key").join(classes.select("key", "class_id"), "key", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
-    sets = classes.where(F.size("grams") > 0).select(F.col("class_id").alias("id"), "grams")
-    banded = _bands(sets, *banding(similarity, recall))
-    full = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "h")
-    met = banded.join(full, ["band", "h"], "left_semi").checkpoint()
+    rows = _signed(docs, id, text, n, *banding(similarity, recall)).checkpoint()
+    named = rows.where("id IS NOT NULL")
+    # only the smallest id of a class carries its bands on; map-side combined
+    classes = named.groupBy("key").agg(F.min("id").alias("class_id"), F.min_by(F.struct("n", "bands"), "id").alias("s"))
+    classes = classes.select("key", "class_id", "s.n", "s.bands").checkpoint()
+    members = rows.select("id", "key").join(classes.select("key", "class_id"), "key", "left")
+    members = members.select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    banded = classes.where("n > 0").select(F.col("class_id").alias("id"), "n", F.posexplode("bands").alias("band", "h"))
+    # one shuffle brings a bucket together and counts it; a large one spills
+    count = F.count(F.lit(1)).over(Window.partitionBy("band", "h"))
+    met = banded.withColumn("c", count).where("c > 1").drop("c").checkpoint()
     a, b = met.alias("a"), met.alias("b")
     fits = (F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n"))
     pairs = (
         a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & fits)
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
+        .checkpoint()
     )
+    sets = _verified(docs, id, text, n, classes, pairs)
     shared = F.size(F.array_intersect("ga", "gb"))
     links = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
@@ -150,11 +165,23 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS
         .select("a", "b", shared.alias("s"), (F.size("ga") + F.size("gb")).alias("both"))
         .select("a", "b", (F.col("s") / (F.col("both") - F.col("s"))).alias("jaccard"))
         .where(F.col("jaccard") >= similarity)
+        .distinct()
         .checkpoint()
     )
     return members, links
 
 
+def _verified(docs: DataFrame, id: str, text: str, n: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The n-gram sets of the representatives in ``pairs``, made again from their texts."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = ids.join(classes.select(F.col("class_id").alias("id"), F.col("key").alias("of")), "id").checkpoint()
+    few = wanted.count() <= BROADCAST_IDS
+    rows = _narrow(docs, id, text)
+    rows = rows.join(F.broadcast(wanted.select("id")) if few else wanted.select("id"), "id", "left_semi").select("id", "text")
+    made = _sets(rows, n).join(wanted, "id").where("key = of")
+    return made.select("id", "grams")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, group_id) of every linked id: the smallest id that it reaches."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).checkpoint()
