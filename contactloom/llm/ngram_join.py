@@ -5,14 +5,28 @@
    that copies are never paired with each other; a class keeps its smallest id.
 2. Class representatives get a MinHash signature, cut into bands. Band and row
    counts are the cheapest that find a pair at the threshold with the target
-   recall. Representatives meet on (band, band hash); buckets of one are dropped.
-3. A pair that shares several buckets is verified once, on the full n-gram sets,
-   which are made again from the texts of those representatives alone.
+   recall. Rows meet on the band hash, and each points to the smallest id of its
+   bucket: as many edges as rows, never the pairs of a bucket. The connected
+   components of these edges are the clusters; any pair that shares a bucket is
+   in one cluster.
+3. A cluster is cut into blocks of bounded rows and n-grams, within levels of set
+   size: sizes of a similar pair are in one level or in neighbouring ones. Every
+   two blocks that can hold similar texts meet in one task, which compares full
+   n-gram sets, made again from the texts. N-grams that occur in the same texts
+   of the task count as one column with a weight, and the sizes of all
+   intersections are one matrix product. A task returns, for each text with a
+   link, the list of its links and the smallest id it reaches within the task:
+   all links are found, but rows grow with texts, not with pairs.
 
 Links are between classes; ``links`` lists the linked representatives of a
 document's class and ``n_links`` counts them. ``group_id`` is the smallest id of
-the connected component, found by hooking to the smallest neighbour and pointer
-jumping, in tables only.
+the connected component of links, found by hooking to the smallest neighbour and
+pointer jumping, in tables only.
+
+The comparisons within a cluster still grow with the square of its distinct texts:
+each pair costs one entry of a matrix product. A loose cluster, chained by texts
+that are somewhat alike, is compared in full as well; levels and blocks bound
+the memory of a task, and tasks are independent.
 
 Defined results: words are ``[^\\W_]+`` in lower case; a null text counts as
 empty, and a text without words has the empty set: such texts are one class
@@ -23,22 +37,26 @@ result. Repeated rows appear each.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contactloom.session import prepare
 
 #: Words in an n-gram, similarity of a link, recall of a pair exactly at it.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-#: Ids of representatives in pairs that may be broadcast (16 bytes each); more of them are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Places of texts in tasks that may be broadcast (some 60 bytes each); more of them are shuffled.
+BROADCAST_PLACES = 500_000
+#: Texts and n-grams of a block; a task holds two blocks.
+BLOCK_ROWS, BLOCK_GRAMS = 1024, 2_000_000
+#: Columns of one step of the matrix product.
+COLUMNS = 4096
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -121,22 +139,135 @@ def _narrow(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
-    """id, key and n-gram set of these rows."""
+    """id, n-gram set and places of the rows whose set has the digest ``of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            right = [i for i, (g, of) in enumerate(zip(sets, batch.column("of").to_pylist(), strict=True)) if _digest(g) == of]
+            sets = [sets[i] for i in right]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = pa.array(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))
-            keys = pa.array([_digest(g) for g in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "key", "grams"])
-
-    return rows.mapInArrow(run, "id long, key binary, grams array<bigint>")
-
-
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY,
-         recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(members, links): id and class_id of every row; a, b and jaccard of linked classes, a < b."""
+            rest = batch.take(pa.array(right, pa.int32()))
+            arrays = [rest.column("id"), pa.ListArray.from_arrays(pa.array(ends), flat), rest.column("places")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "grams", "places"])
+
+    return rows.mapInArrow(run, f"id long, grams array<bigint>, places array<{PLACE}>")
+
+
+PLACE = "struct<la:int,ia:int,lb:int,ib:int,side:int,cluster:bigint>"
+TASK = ["cluster", "la", "ia", "lb", "ib"]
+
+
+def _clusters(classes: DataFrame) -> DataFrame:
+    """id and cluster of the representatives that share a bucket with another."""
+    banded = classes.where("n > 0").select(F.col("class_id").alias("id"), F.explode("bands").alias("h"))
+    lows = banded.groupBy("h").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "low")
+    stars = banded.join(lows, "h").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    return components(stars).withColumnRenamed("group_id", "cluster")
+
+
+def _places(clusters: DataFrame, classes: DataFrame, similarity: float, block_rows: int, block_grams: int) -> DataFrame:
+    """id, of (digest) and the tasks of every clustered representative.
+
+    A cluster that fits one block has one task. Otherwise blocks are numbered
+    within a level; block i of level la meets block j of level lb for lb = la,
+    i <= j, and for lb = la + 1. ``side`` is 0 where a block meets itself, else
+    1 or 2.
+    """
+    width = math.log(1 / similarity) * (1 + 1e-9)
+    rows = clusters.join(classes.select(F.col("class_id").alias("id"), "key", "n"), "id")
+    rows = rows.withColumn("l", F.floor(F.log("n") / width).cast("int"))
+    levels = rows.groupBy("cluster", "l").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    levels = levels.withColumn("m", F.ceil(F.greatest(F.col("c") / block_rows, F.col("s") / block_grams)).cast("int"))
+    large = levels.groupBy("cluster").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("l", "m"))).alias("blocks"))
+    large = large.where((F.col("c") > block_rows) | (F.col("s") > block_grams)).select("cluster", "blocks")
+    rows = rows.join(large, "cluster", "left").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("l")]).cast("int"))
+
+    def meets(level: Column, place: Callable[[Column], Column]) -> Column:
+        count = F.coalesce(F.try_element_at("blocks", level), F.lit(0))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), place)).otherwise(F.array().cast(f"array<{PLACE}>"))
+
+    def place(la: Column, ia: Column, lb: Column, ib: Column, side: Column) -> Column:
+        named = zip(("la", "ia", "lb", "ib", "side"), (la, ia, lb, ib, side), strict=True)
+        return F.struct(*[c.cast("int").alias(k) for k, c in named], F.col("cluster")).cast(PLACE)
+
+    zero, l, i = F.lit(0), F.col("l"), F.col("i")
+    own = meets(l, lambda j: place(l, F.least(i, j), l, F.greatest(i, j), F.when(i == j, 0).when(i < j, 1).otherwise(2)))
+    above = meets(l + 1, lambda j: place(l, i, l + 1, j, F.lit(1)))
+    below = meets(l - 1, lambda j: place(l - 1, j, l, i, F.lit(2)))
+    alone = F.array(place(zero, zero, zero, zero, zero))
+    return rows.select("id", F.col("key").alias("of"), F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(own, above, below)).alias("places"))
+
+
+def shared_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    sizes = np.array([len(s) for s in sets])
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate([*sets, np.empty(0, dtype=np.int64)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, dtype=np.int64)
+    counts = np.diff(np.r_[starts, len(flat)])
+    starts, counts = starts[counts > 1], counts[counts > 1]
+    if not len(starts):
+        return out
+    # n-grams of the same texts have the same sum of codes: one column with their number as weight
+    total = np.r_[np.uint64(0), np.cumsum(_mix(owner.astype(np.uint64) + np.uint64(1)))]
+    _, first, weight = np.unique(total[starts + counts] - total[starts], return_index=True, return_counts=True)
+    for at in range(0, len(first), COLUMNS):
+        some = first[at : at + COLUMNS]
+        lens = counts[some]
+        column = np.repeat(np.arange(len(some)), lens)
+        places = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(starts[some], lens)
+        x = np.zeros((len(sets), len(some)))
+        x[owner[places], column] = 1
+        out += (x[left] * weight[at : at + COLUMNS]) @ x[right].T
+    return out
+
+
+def _linked(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Compares the blocks of one task."""
+
+    def run(task: pa.Table) -> pa.Table:
+        # repeated rows of an id carry the same set
+        ids, first = np.unique(task.column("id").to_numpy(), return_index=True)
+        task = task.take(pa.array(first))
+        side, grams = task.column("side").to_numpy(), task.column("grams").combine_chunks()
+        ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        shared, sizes = shared_grams(sets, left, right), np.diff(ends).astype(np.float64)
+        score = np.zeros((len(ids), len(ids)))
+        score[np.ix_(left, right)] = shared / (sizes[left][:, None] + sizes[right][None, :] - shared)
+        score = np.maximum(score, score.T)
+        np.fill_diagonal(score, 0)
+        hit = score >= similarity
+        low = np.arange(len(ids))
+        while True:
+            near = np.minimum(low, np.where(hit, low[None, :], len(ids)).min(axis=1, initial=len(ids)))
+            near = near[near]
+            if (near == low).all():
+                break
+            low = near
+        some = np.flatnonzero(hit.any(axis=1))
+        rows, columns = np.nonzero(hit[some])
+        ends = pa.array(np.r_[0, np.cumsum(hit[some].sum(axis=1))].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (ids[columns], score[some][rows, columns])]
+        return pa.table([pa.array(ids[some]), lists[0], lists[1], pa.array(ids[low[some]])], names=["id", "links", "jaccard", "low"])
+
+    return run
+
+
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL,
+         block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """(members, linked): id and class_id of every row; for every linked class and task id, links, jaccard and low.
+
+    ``links`` and ``jaccard`` list the classes linked to ``id`` that the task
+    holds, each link in one task only; ``low`` is the smallest id that ``id``
+    reaches there. ``pairs`` turns them into rows of pairs.
+    """
     prepare(docs.sparkSession)
     rows = _signed(docs, id, text, n, *banding(similarity, recall)).checkpoint()
     named = rows.where("id IS NOT NULL")
@@ -145,41 +276,18 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS
     classes = classes.select("key", "class_id", "s.n", "s.bands").checkpoint()
     members = rows.select("id", "key").join(classes.select("key", "class_id"), "key", "left")
     members = members.select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
-    banded = classes.where("n > 0").select(F.col("class_id").alias("id"), "n", F.posexplode("bands").alias("band", "h"))
-    # one shuffle brings a bucket together and counts it; a large one spills
-    count = F.count(F.lit(1)).over(Window.partitionBy("band", "h"))
-    met = banded.withColumn("c", count).where("c > 1").drop("c").checkpoint()
-    a, b = met.alias("a"), met.alias("b")
-    fits = (F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n"))
-    pairs = (
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & fits)
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
-    sets = _verified(docs, id, text, n, classes, pairs)
-    shared = F.size(F.array_intersect("ga", "gb"))
-    links = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        .select("a", "b", shared.alias("s"), (F.size("ga") + F.size("gb")).alias("both"))
-        .select("a", "b", (F.col("s") / (F.col("both") - F.col("s"))).alias("jaccard"))
-        .where(F.col("jaccard") >= similarity)
-        .distinct()
-        .checkpoint()
-    )
-    return members, links
+    places = _places(_clusters(classes), classes, similarity, block_rows, block_grams).checkpoint()
+    few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    texts = _narrow(docs, id, text).join(F.broadcast(places) if few else places, "id")
+    sets = _sets(texts, n).select("id", "grams", F.explode("places").alias("p")).select("id", "grams", "p.*")
+    linked = sets.groupBy(*TASK).applyInArrow(_linked(similarity), "id long, links array<bigint>, jaccard array<double>, low long")
+    return members, linked
 
 
-def _verified(docs: DataFrame, id: str, text: str, n: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The n-gram sets of the representatives in ``pairs``, made again from their texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = ids.join(classes.select(F.col("class_id").alias("id"), F.col("key").alias("of")), "id").checkpoint()
-    few = wanted.count() <= BROADCAST_IDS
-    rows = _narrow(docs, id, text)
-    rows = rows.join(F.broadcast(wanted.select("id")) if few else wanted.select("id"), "id", "left_semi").select("id", "text")
-    made = _sets(rows, n).join(wanted, "id").where("key = of")
-    return made.select("id", "grams")
+def pairs(linked: DataFrame) -> DataFrame:
+    """a, b and jaccard of linked classes, a < b."""
+    each = linked.select(F.col("id").alias("a"), F.explode(F.arrays_zip("links", "jaccard")).alias("p"))
+    return each.select("a", F.col("p.links").alias("b"), F.col("p.jaccard").alias("jaccard")).where("a < b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,12 +305,13 @@ def components(links: DataFrame) -> DataFrame:
         label = low.select("id", "g")
 
 
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """One row for each row: id, class_id, group_id, n_links, links (linked class ids, sorted)."""
-    members, links = join(docs, id, text)
-    both = links.select("a", "b").union(links.select("b", "a"))
-    listed = both.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("links"))
-    found = listed.join(components(links).withColumnRenamed("id", "a"), "a").withColumnRenamed("a", "class_id")
+    members, linked = join(docs, id, text, **options)
+    linked = linked.select("id", "links", "low").checkpoint()
+    listed = linked.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
+    edges = linked.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    found = listed.join(components(edges), "id").withColumnRenamed("id", "class_id")
     return members.join(found, "class_id", "left").select(
         F.col("id").alias(id), "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
         F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"),

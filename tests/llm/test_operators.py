@@ -84,24 +84,29 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert toxicity.judge(_docs(spark, AWKWARD), labels.where("false")).count() == len(AWKWARD)
 
 
-def test_join_against_all_pairs(spark):
+@pytest.mark.parametrize("options", [{}, {"block_rows": 2}, {"block_grams": 200}])
+def test_join_against_all_pairs(spark, options):
     r = np.random.default_rng(0)
     base = [[f"t{k}" for k in r.integers(0, 500, 80)] for _ in range(12)]
     texts = [None, "", "one two"]
     for b in base:
-        for edits in (0, 0, 1, 2, 3):
+        for edits in (0, 0, 1, 1, 2, 3, 12):
             c = list(b)
             for at in r.integers(0, 80, edits):
                 c[at] = "changed"
             texts.append(" ".join(c))
     sets = [frozenset(ngram_join.shingles(t).tolist()) for t in texts]
-    rows = {x.doc_id: x for x in ngram_join.near_groups(_docs(spark, texts)).collect()}
+    rows = {x.doc_id: x for x in ngram_join.near_groups(_docs(spark, texts), **options).collect()}
     first = {}
     for i, s in enumerate(sets):
         first.setdefault(s, i)
     for i, s in enumerate(sets):
         want = sorted(k for o, k in first.items() if o and s and o != s and len(o & s) >= 0.8 * len(o | s) - 1e-12)
         assert rows[i].class_id == first[s] and rows[i].links == want and rows[i].n_links == len(want)
+    _, linked = ngram_join.join(_docs(spark, texts), **options)
+    found = sorted((x.a, x.b) for x in ngram_join.pairs(linked).collect())
+    assert found == sorted((i, k) for i, x in rows.items() if i == x.class_id for k in x.links if i < k)
+    assert ngram_join.near_groups(_docs(spark, texts).where("false"), **options).count() == 0
     kept = {x.doc_id for x in ngram_join.keep_one(_docs(spark, texts)).collect()}
     assert {0, 1} <= kept and len(kept - {0, 1}) == len({x.group_id for i, x in rows.items() if i > 1})
 
