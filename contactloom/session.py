@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to a Python worker at a time: with whole texts, 10,000 (the default) take hundreds of MB on both sides.
+BATCH_ROWS = 500
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -28,7 +30,7 @@ def local_session(cpus: str = "*", app: str = "contactloom", partitions: int = 8
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and give reliable checkpoints a folder.
+    """Let Python workers import this package, bound Arrow batches, and give reliable checkpoints a folder.
 
     The cluster's ``spark.checkpoint.dir`` always wins. A folder of our own is
     set only where the setting is absent, which is the case in tests.
@@ -36,6 +38,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/contactloom"
