@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 #: Matches that the cache holds, the bytes up to which a match is short, and the
 #: characters of text that are cut at a time.
-CACHED, SHORT, CHUNK = 400_000, 64, 2_000_000
+CACHED, SHORT, CHUNK = 300_000, 64, 1_000_000
 #: Stands for no pair.
 FAR = 1 << 40
 
