@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from contactloom.llm import bpe, exact_dedup, html_text, media, mixing, ngram_join, secret_scan, toxicity
+from contactloom.llm import bpe, exact_dedup, html_text, license_scan, media, mixing, ngram_join, secret_scan, toxicity
 
 ROWS = "doc_id long, text string, source string, id string, h string"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,6 +65,25 @@ def test_secret_nulls_and_empty_table(spark):
     assert secret_scan.digest(secret_scan.secrets(_docs(spark, AWKWARD).where("false"))).count() == 0
 
 
+def test_license_base_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    parts = ["CC BY", "cc-by", "General  Public\nLicense", "all rights reserved", "All Rights", "reserved", "é", "cc", "by", "general public", "license.", "MIT License"]
+    texts = AWKWARD + [" ".join(parts[k] for k in r.integers(0, len(parts), 12)) for _ in range(60)]
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    rows = {x.doc_id: x for x in license_scan.digest(license_scan.scan(_docs(spark, texts))).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        found = [(at, label) for p, label in phrases.items() for at in range(len(words)) if tuple(words[at : at + len(p)]) == p]
+        x, starts, labels = rows[i], [at for at, _ in found], {label for _, label in found}
+        assert (x.n_words, x.n_base) == (len(words), len(found)) and x.base_labels == ",".join(sorted(labels))
+        assert (x.first_word, x.last_word) == ((min(starts), max(starts)) if found else (None, None))
+        assert labels <= set(x.labels.split(","))
+        assert 0 <= x.score <= 1
+    assert license_scan.digest(license_scan.scan(_docs(spark, texts).where("false"))).count() == 0
+
+
 def test_html_on_unseen_pages():
     model = html_text.trained()
     right = sum(set(html_text.main_text(h, model).split("\n")) - {""} == kept for h, kept in html_text.labelled_pages(100, 41))
