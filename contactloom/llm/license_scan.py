@@ -31,6 +31,9 @@ BASE = (
     ("all rights reserved", "reserved"),
 )
 
+#: Parts of Creative Commons' full names.
+_SA, _NC, _ND = "share ?alike", "non ?commercial", "no ?deriv(ative(s| works)?|s)"
+
 #: Families: label, keyword, name as a pattern over words, versions as patterns.
 #: A name may be followed by "license", and a version by nothing else.
 FAMILIES = (
@@ -56,7 +59,7 @@ FAMILIES = (
     ("wtfpl", "wtfpl", "wtfpl", ("version 2",)),
     ("eupl", "european union", "european union public", ("v?1 [012]",)),
     ("ofl", "open font", "(sil )?open font", ("1 [01]", "version 1 1")),
-    ("odbl", "open database", "open (data commons )?database", ("v?1 0",)),
+    ("odbl", "open data", "open (data commons )?database", ("v?1 0",)),
     ("php", "php", "php", ("3 0[01]?",)),
     ("python", "python", "python( software foundation)?", ("2( 0)?",)),
     ("ms-pl", "microsoft", "microsoft (public|reciprocal)", ()),
@@ -68,9 +71,12 @@ FAMILIES = (
     ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd", ("[1234] [05]",)),
     ("cc0", "cc0", "cc0", ("1 0",)),
     ("cc-by", "creative commons", "creative commons attribution", ("[1234] [05]( international| unported)?",)),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike", ("[1234] [05]( international| unported)?",)),
-    ("cc-by-sa", "share alike", "creative commons attribution share alike", ("[1234] [05]( international| unported)?",)),
-    ("cc-by-nc", "commercial", "creative commons attribution non ?commercial", ("[1234] [05]( international| unported)?",)),
+    ("cc-by-sa", "creative commons", f"creative commons attribution {_SA}", ("[1234] [05]( international| unported)?",)),
+    ("cc-by-nc", "creative commons", f"creative commons attribution {_NC}", ("[1234] [05]( international| unported)?",)),
+    ("cc-by-nd", "creative commons", f"creative commons attribution {_ND}", ("[1234] [05]( international| unported)?",)),
+    ("cc-by-nc-sa", "creative commons", f"creative commons attribution {_NC} {_SA}", ("[1234] [05]( international| unported)?",)),
+    ("cc-by-nc-nd", "creative commons", f"creative commons attribution ({_NC} {_ND}|{_ND} {_NC})", ("[1234] [05]( international| unported)?",)),
+    ("cc0", "creative commons", "creative commons (zero|cc0)", ("v?1 0( universal)?",)),
 )
 
 #: Ways in which a family is named: priority, text before, must "license" follow, text after.
