@@ -59,3 +59,13 @@ def test_full_names(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = license_scan.digest(license_scan.scan(docs)).collect()
     assert {x.doc_id: x.labels for x in rows} == dict(enumerate(texts.values()))
+
+
+def test_every_form_of_every_family(spark):
+    r, made = random.Random(8), []
+    for label, _, name, versions in license_scan.FAMILIES:
+        for before in ("SPDX License Identifier ", "is licensed under the ", "under the terms of the ", "subject to the ", ""):
+            for version in (None, *versions):
+                made.append((label, f"{before}{_sample(name, r)}" + (" license" if "SPDX" not in before else "") + (f" {_sample(version, r)}" if version else "")))
+    found = _whole(spark, [text for _, text in made])
+    assert [(label, text) for (label, text), labels in zip(made, found, strict=True) if label not in labels] == []
