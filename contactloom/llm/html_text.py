@@ -15,7 +15,11 @@ step recurses, so that depth is not bounded.
 
 Defined results: null html counts as empty; a page without main text has the
 empty text; text outside any block belongs to the block around it, or to the
-page; unclosed and stray tags are accepted; repeated rows are read each.
+page; unclosed and stray tags are accepted; repeated rows are read each. Head
+hides nothing but what its elements hide, so its end tag may be left out, as may
+the tags of html and body. Text of math, svg, object, button, select and canvas
+belongs to the block around them. Only elements that HTML itself reads up to
+their end tag (``SILENT``) run to the end of the page if they are not closed.
 """
 
 from __future__ import annotations
@@ -33,13 +37,23 @@ from pyspark.sql import functions as F
 
 #: Elements without content, elements whose content is no text, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object head title select textarea button canvas".split())
+SILENT = frozenset("script style noscript template iframe title textarea".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
+#: Elements that are no blocks either: controls, embedded content, formulas and drawings with their parts.
+WITHIN = frozenset((
+    "button select option optgroup object canvas "
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "svg g defs symbol use switch text tspan textpath path rect circle ellipse line polyline polygon marker clippath mask pattern filter "
+    "lineargradient radialgradient stop foreignobject desc animate animatetransform animatemotion"
+).split())
+#: Those whose text is a word apart.
+APART = frozenset("button select option object mtr mtd svg text".split())
 #: Elements that end an open paragraph; elements that end an open one of their own kind.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Tags that are features, and groups of attribute tokens.
 TAGS = "body main article section div p h1 h2 h3 ul ol li dl table tr td blockquote pre figure nav header footer aside form".split()
 TOKENS = {
@@ -74,6 +88,8 @@ class Tree(HTMLParser):
         self.nodes = [Node("page", None, frozenset())]
         self.open, self.silent, self.links = [self.nodes[0]], [], 0
         self.opened: Counter[str] = Counter()
+        #: Of html, head and body, those that have begun.
+        self.begun: set[str] = set()
         self.feed(html)
         self.close()
 
@@ -82,8 +98,23 @@ class Tree(HTMLParser):
             self.silent.append(tag)
         if self.silent:
             return
+        if tag in ("head", "body"):
+            self._imply("html")
+            if tag in self.begun:
+                return
+            self.begun.add(tag)
+            if tag == "head":
+                return
+        elif tag == "html":
+            self.begun.add(tag)
+        elif tag not in VOID:
+            self._imply("body")
         if tag == "a":
             self.links += 1
+        if tag in WITHIN:
+            if tag in APART:
+                self.handle_data(" ")
+            return
         if tag in INLINE:
             return
         if tag == "br" or tag in VOID:
@@ -93,7 +124,15 @@ class Tree(HTMLParser):
             self._leave()
         if self.open[-1].tag in SAME.get(tag, ()):
             self._leave()
-        words = frozenset(t for k, v in attrs if k in ("class", "id", "role") and v for t in _tokens(v.lower()))
+        self._enter(tag, frozenset(t for k, v in attrs if k in ("class", "id", "role") and v for t in _tokens(v.lower())))
+
+    def _imply(self, tag: str) -> None:
+        """Html where a page begins with head or body, body where one has html or head only."""
+        if tag not in self.begun and (tag == "html" or self.begun):
+            self.begun.add(tag)
+            self._enter(tag, frozenset())
+
+    def _enter(self, tag: str, words: frozenset[str]) -> None:
         node = Node(tag, self.open[-1], words)
         self.open[-1].children.append(node)
         self.nodes.append(node)
@@ -117,6 +156,10 @@ class Tree(HTMLParser):
             return
         if tag == "a":
             self.links = max(0, self.links - 1)
+        if tag in WITHIN:
+            if tag in APART:
+                self.handle_data(" ")
+            return
         if tag in INLINE or tag in VOID:
             return
         if self.opened[tag]:
@@ -126,6 +169,8 @@ class Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
+            if not data.isspace():
+                self._imply("body")
             node = self.open[-1]
             node.parts.append((len(node.children), data))
             if self.links:
