@@ -1,15 +1,19 @@
 """Secrets: patterns give base findings, a character network judges every candidate.
 
 Candidates are the base findings and all runs of 16 or more characters that keys
-are written with. Each is cut out with its context into a window of fixed width
-(32 characters before, 64 from its start on), mapped to character classes, and
-scored by a small convolutional network in numpy: embedding, one convolution,
-maximum over the candidate and over the context, a logistic unit. It is trained
-here on labelled findings made by a seeded generator; the threshold is the
-largest that keeps ``RECALL`` on findings held out from training.
+are written with, or the parts of 16 or more characters of such a run that no
+base finding covers. Each is cut out with its context into a window of fixed
+width (32 characters before, 64 from its start on, 32 after those), mapped to
+character classes, and scored by a small convolutional network in numpy:
+embedding, one convolution, maximum over the candidate and over the context, a
+logistic unit. A candidate of more than 64 characters has windows at every 32nd
+character and one that ends with it; its score is the largest of theirs. The
+network is trained here on labelled findings made by a seeded generator, short
+ones and runs of several pieces; the threshold is the largest that keeps
+``RECALL`` on findings of both kinds held out from training.
 
 Base findings always stay, whatever their score; other candidates are findings
-of kind ``scored`` if they reach the threshold and overlap no base finding.
+of kind ``scored`` if they reach the threshold.
 
 A row in, a row out, over whole texts; candidates are scored in bounded groups.
 
@@ -39,8 +43,9 @@ BASE = (
 )
 PATTERNS = [(kind, re.compile(p), group, least) for kind, p, group, least in BASE]
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters before a candidate and from its start on; recall that calibration keeps.
-BEFORE, AFTER, RECALL = 32, 64, 0.99
+#: Least length of a candidate; characters before a window's piece, of the piece, after it, between
+#: the pieces of a long candidate; recall that calibration keeps.
+LEAST, BEFORE, AFTER, BEHIND, STEP, RECALL = 16, 32, 64, 32, 32, 0.99
 CLASSES, WIDTH, FILTERS, EMBED = 72, 5, 24, 12
 #: Class of each character code: letters and digits by themselves, the rest in few classes.
 CLASS = np.full(256, 70, dtype=np.int64)
@@ -59,14 +64,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def window(text: str, start: int, end: int) -> tuple[np.ndarray, int]:
     """Character classes of the window, and how many of them are the candidate's."""
-    out = np.zeros(BEFORE + AFTER, dtype=np.int64)
-    piece = text[max(0, start - BEFORE) : start + AFTER]
+    out = np.zeros(BEFORE + AFTER + BEHIND, dtype=np.int64)
+    piece = text[max(0, start - BEFORE) : start + AFTER + BEHIND]
     at = BEFORE - min(start, BEFORE)
     codes = np.frombuffer(piece.encode("latin-1", "replace"), dtype=np.uint8)
     out[at : at + len(codes)] = CLASS[codes]
     return out, min(end - start, AFTER)
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """Where the windows of a candidate have their pieces: all of it, overlapping."""
+    starts = [*range(start, max(start + 1, end - AFTER), STEP), *([end - AFTER] if end - start > AFTER else [])]
+    return [(a, min(end, a + AFTER)) for a in starts]
+
+
 class Network:
     """Embedding, convolution, two maxima, logistic unit."""
 
@@ -166,17 +177,70 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def long_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, start, end, label, start and end of the key): runs of several pieces, half of them with a key among these."""
+    r, out = np.random.default_rng(seed), []
+    keys, none = ([f for f in findings(4 * n, seed + 1000) if f[3] == y and f[2] - f[1] >= (32 if y else 16)] for y in (1, 0))
+    for i in range(n):
+        rest = [t[a:b] for t, a, b, _ in (none[int(k)] for k in r.integers(0, len(none), int(r.integers(2, 5))))]
+        # some runs are of one kind of piece only
+        rest = [x.replace(" ", "") for x in (rest[:1] * len(rest) if r.random() < 0.2 else rest)]
+        text, a, b, _ = keys[int(r.integers(0, len(keys)))]
+        at = int(r.integers(0, len(rest) + 1))
+        key = text[a:b] if i % 2 else ""
+        glue = "/-_="[int(r.integers(0, 4))]
+        run = glue.join(rest[:at] + [key] * (i % 2) + rest[at:])
+        before = len(glue.join(rest[:at])) + (at > 0) if key else 0
+        lead, behind = text[:a], text[b:]
+        if not i % 2:
+            lead = lead.rsplit(" ", 1)[0] + " "
+        out.append((lead + run + behind, len(lead), len(lead + run), i % 2, len(lead) + before, len(lead) + before + len(key)))
+    return out
+
+
+def _windows(found) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """The windows of long findings as findings, and the finding of each. A window has label 1 if it holds LEAST characters of a key or more."""
+    cut, of = [], []
+    for i, (text, start, end, label, a, b) in enumerate(found):
+        for x, y in pieces(start, end):
+            cut.append((text, x, y, int(label and min(y, b) - max(x, a) >= min(LEAST, b - a))))
+            of.append(i)
+    return cut, of
+
+
 def _arrays(found) -> tuple[np.ndarray, np.ndarray]:
     cut = [window(t, a, b) for t, a, b, *_ in found]
-    return np.array([w for w, _ in cut]).reshape(-1, BEFORE + AFTER), np.array([s for _, s in cut], dtype=np.int64)
+    return np.array([w for w, _ in cut]).reshape(-1, BEFORE + AFTER + BEHIND), np.array([s for _, s in cut], dtype=np.int64)
+
+
+def scores(network: Network, found: list[tuple[str, int, int]]) -> np.ndarray:
+    """The largest score of each finding's windows, computed for a bounded number of windows at a time."""
+    out, held, of = np.zeros(len(found)), [], []
+
+    def flush() -> None:
+        np.maximum.at(out, of, network.score(*_arrays(held)))
+        held.clear()
+        of.clear()
+
+    for i, (text, start, end) in enumerate(found):
+        for a, b in pieces(start, end):
+            held.append((text, a, b))
+            of.append(i)
+            if len(held) == 2048:
+                flush()
+    if held:
+        flush()
+    return out
 
 
 @lru_cache(1)
 def trained() -> Network:
     """The network after training and calibration; the same wherever it runs."""
-    network, learn, check = Network(), findings(4000, 1), findings(2000, 2)
+    network, learn, check = Network(), findings(4000, 1) + _windows(long_findings(1000, 3))[0], findings(2000, 2)
     network.fit(*_arrays(learn), np.array([f[3] for f in learn], dtype=float))
-    score = network.score(*_arrays(check))
+    long = [f for f in long_findings(600, 4) if f[3]]
+    score = np.concatenate([network.score(*_arrays(check)), scores(network, [f[:3] for f in long])])
+    check = check + long
     keys = np.sort(score[np.array([f[3] for f in check]) == 1])
     network.threshold = float(keys[int(np.floor((1 - RECALL) * len(keys)))])
     return network
@@ -186,22 +250,30 @@ def scan(text: str | None, network: Network) -> tuple[list[tuple[str, int, int]]
     """(base spans, all spans with scores)."""
     text = text or ""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    # the furthest end of base findings that start no later, to test overlaps from the left
-    more, i, reach = [], 0, 0
+    taken: list[list[int]] = []  # what base findings cover, in disjoint intervals
+    for _, a, b in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    more, i = [], 0
     for m in CANDIDATE.finditer(text):
-        while i < len(taken) and taken[i][0] < m.end():
-            reach = max(reach, taken[i][1])
+        at = m.start()
+        while i < len(taken) and taken[i][1] <= at:
             i += 1
-        if reach <= m.start():
-            more.append(("scored", m.start(), m.end()))
+        k = i
+        while k < len(taken) and taken[k][0] < m.end():
+            if taken[k][0] - at >= LEAST:
+                more.append(("scored", at, taken[k][0]))
+            at = max(at, taken[k][1])
+            k += 1
+        if m.end() - at >= LEAST:
+            more.append(("scored", at, m.end()))
     every = base + more
     kept = []
-    for at in range(0, len(every), 2048):
-        group = every[at : at + 2048]
-        for (kind, a, b), s in zip(group, network.score(*_arrays([(text, a, b) for _, a, b in group]))):
-            if kind != "scored" or s >= network.threshold:
-                kept.append((kind, a, b, float(s)))
+    for (kind, a, b), s in zip(every, scores(network, [(text, a, b) for _, a, b in every]), strict=True):
+        if kind != "scored" or s >= network.threshold:
+            kept.append((kind, a, b, float(s)))
     rank = {kind: i for i, kind in enumerate([k for k, *_ in BASE] + ["scored"])}
     return base, sorted(kept, key=lambda k: (k[1], rank[k[0]]))
 
