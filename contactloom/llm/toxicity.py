@@ -8,8 +8,10 @@ lists of their places only. A logistic model with an L1 penalty and weights that
 are not negative is fitted in numpy by proximal gradient steps: toxicity is the
 presence of something, so that no amount of other words makes up for it.
 Counterfactuals: in each labelled sentence that names a group, the identity term
-is swapped for another one, and the squared change of the score is penalised, so
-that naming a group moves no score. All identity terms are in the vocabulary
+is swapped for another one, and the squared change of the sentence's score, from
+all features before and after the swap (the term, its beginnings, and what other
+words of the sentence share with them), is penalised, so that naming a group
+hardly moves a score. All identity terms are in the vocabulary
 whatever their counts, and each term is paired with every other one at least once.
 
 Scoring is a row in, a row out, over whole texts, with the fitted words as a
@@ -47,14 +49,23 @@ IDENTITY = (
     "asian", "latino", "african", "european", "american", "deaf", "blind", "disabled", "old", "young",
 )
 _words = re.compile(r"[^\W_]+").findall
+_sentences = re.compile(r"[.!?\n]").split
 
 
 def features(text: str | None) -> set[str]:
     """Distinct words, and beginnings of longer ones, which end in ``~``."""
     words = set(_words((text or "").lower()))
+    return _with_starts(words)
+
+
+def _with_starts(words: set[str]) -> set[str]:
     return words | {w[:k] + "~" for w in words for k in STARTS if len(w) > k}
 
 
+#: All that an identity term can add to a text's features.
+_OF_TERMS = _with_starts(set(IDENTITY))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
@@ -73,8 +84,24 @@ def swaps(sentence: set[str]) -> Iterator[tuple[str, str]]:
         yield term, IDENTITY[(at + step) % len(IDENTITY)]
 
 
-def fit_linear(rows: list[list[int]], labels: list[int], width: int, pairs: np.ndarray, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Weights and intercept. ``pairs`` holds (place, place, weight) of swapped terms."""
+def named(text: str | None) -> list[tuple[list[str], list[str]]]:
+    """For each sentence that names a group: its identity terms, and those features of its other words that a term has too."""
+    out = []
+    for sentence in _sentences((text or "").lower()):
+        words = set(_words(sentence))
+        if terms := words.intersection(IDENTITY):
+            out.append((sorted(terms), sorted(_with_starts(words - terms) & _OF_TERMS)))
+    return out
+
+
+def changed(terms: set[str], others: set[str], term: str, other: str) -> tuple[tuple[str, int], ...]:
+    """The features that a sentence loses (-1) and gains (1) if ``other`` stands in for ``term``."""
+    before, after = (_with_starts(t) | others for t in (terms, terms - {term} | {other}))
+    return tuple(sorted([(f, -1) for f in before - after] + [(f, 1) for f in after - before]))
+
+
+def fit_linear(rows: list[list[int]], labels: list[int], width: int, changes: list[tuple[list[int], list[int], float]], steps: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and intercept. ``changes`` holds (places, signs, weight) of swaps: what a swap takes and adds."""
     y = np.asarray(labels, dtype=float)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=len(row))
@@ -84,14 +111,17 @@ def fit_linear(rows: list[list[int]], labels: list[int], width: int, pairs: np.n
     v, vb, t = w.copy(), b, 1.0
     # the curvature is bounded by the largest row of words, and by the swaps
     size = np.bincount(row, minlength=len(rows)) + 1
-    rate = 1 / (0.25 * float((share * size).sum()) + 4 * SWAP * float(pairs[:, 2].sum()))
-    a, c = pairs[:, 0].astype(int), pairs[:, 1].astype(int)
+    swap = np.repeat(np.arange(len(changes)), [len(places) for places, _, _ in changes])
+    at = np.array([k for places, _, _ in changes for k in places], dtype=np.int64)
+    sign = np.array([k for _, signs, _ in changes for k in signs], dtype=float)
+    often = np.array([weight for _, _, weight in changes], dtype=float)
+    rate = 1 / (0.25 * float((share * size).sum()) + 2 * SWAP * float(often[swap].sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v[col], len(rows)) + vb, -30, 30)))
         g = (p - y) * share
         grad = np.bincount(col, g[row], width)
-        change = 2 * SWAP * pairs[:, 2] * (v[a] - v[c])
-        grad += np.bincount(a, change, width) - np.bincount(c, change, width)
+        change = 2 * SWAP * often * np.bincount(swap, sign * v[at], len(changes))
+        grad += np.bincount(at, sign * change[swap], width)
         new = v - rate * grad
         new = np.maximum(new - rate * L1, 0)
         newb = vb - rate * g.sum()
@@ -115,12 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         .orderBy(F.xxhash64("id"), "id")
         .limit(FIT_ROWS)
     )
-    @F.pandas_udf("words array<string>, named array<array<string>>")
+    @F.pandas_udf("words array<string>, named array<struct<terms: array<string>, others: array<string>>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        made = []
-        for t in texts:
-            sentences = [set(_words(x)) for x in re.split(r"[.!?\n]", (t or "").lower())]
-            made.append((sorted(features(t)), [sorted(x.intersection(IDENTITY)) for x in sentences if not x.isdisjoint(IDENTITY)]))
+        made = [(sorted(features(t)), [{"terms": terms, "others": others} for terms, others in named(t)]) for t in texts]
         return pd.DataFrame(made, columns=["words", "named"])
 
     # at most FIT_ROWS narrow rows, hence the broadcast
@@ -144,17 +171,22 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     place = {w: i for i, w in enumerate(vocabulary)}
     known = F.array(*map(F.lit, vocabulary))
     sample = rows.select("y", F.array_intersect("words", known).alias("words"), "named").toLocalIterator()
-    x, y, pairs = [], [], {}
+    x, y, often = [], [], {}
+
+    def swapped(terms: set[str], others: set[str], a: str, c: str) -> None:
+        if change := tuple((place[f], sign) for f, sign in changed(terms, others, a, c) if f in place):
+            often[change] = often.get(change, 0.0) + 1.0 / n
+
     for r in sample:
         x.append([place[w] for w in r.words])
         y.append(r.y)
         for sentence in r.named:
-            for a, c in swaps(set(sentence)):
-                pairs[place[a], place[c]] = pairs.get((place[a], place[c]), 0.0) + 1.0 / n
+            for a, c in swaps(set(sentence.terms)):
+                swapped(set(sentence.terms), set(sentence.others), a, c)
     for a, c in zip(IDENTITY, IDENTITY[1:] + IDENTITY[:1]):
-        pairs[place[a], place[c]] = pairs.get((place[a], place[c]), 0.0) + 1.0 / n
-    table = np.array([(a, c, share) for (a, c), share in sorted(pairs.items())])
-    w, b = fit_linear(x, y, len(vocabulary), table)
+        swapped({a}, set(), a, c)
+    changes = [([k for k, _ in change], [sign for _, sign in change], weight) for change, weight in sorted(often.items())]
+    w, b = fit_linear(x, y, len(vocabulary), changes)
     return Model({vocabulary[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, float(b))
 
 
