@@ -15,23 +15,30 @@
    n-gram sets, made again from the texts. N-grams that occur in the same texts
    of the task count as one column with a weight, and the sizes of all
    intersections are one matrix product. A task returns, for each text with a
-   link, the list of its links and the smallest id it reaches within the task:
-   all links are found, but rows grow with texts, not with pairs.
-
-Links are between classes; ``links`` lists the linked representatives of a
-document's class and ``n_links`` counts them. ``group_id`` is the smallest id of
-the connected component of links, found by hooking to the smallest neighbour and
-pointer jumping, in tables only.
-
-The comparisons within a cluster still grow with the square of its distinct texts:
-each pair costs one entry of a matrix product. A loose cluster, chained by texts
-that are somewhat alike, is compared in full as well; levels and blocks bound
-the memory of a task, and tasks are independent.
+   link, the number of its links and the smallest text it reaches within the
+   task, or the links themselves for ``pairs``.
+
+Links are between classes; ``n_links`` counts the classes that a document's class
+is linked to. ``group_id`` is the smallest id of the connected component of
+links. Components merge edges before they follow them, so that a hub of many
+near copies is neither joined edge by edge nor sent to one task, and classes and
+buckets with many rows are joined by broadcast.
+
+What grows faster than the corpus: every two distinct texts of a cluster in equal
+or neighbouring levels of size are compared (one entry of a matrix product), as the
+number of links of each text is asked for, and a text of a cluster of many blocks
+is sent to each task of its block. A cluster of near copies that grows with the
+corpus costs the square of its size in CPU. A loose cluster, chained by texts that
+are somewhat alike, is compared in full as well. Blocks bound the memory of a
+task, and tasks are independent.
 
 Defined results: words are ``[^\\W_]+`` in lower case; a null text counts as
 empty, and a text without words has the empty set: such texts are one class
-without links. Null ids get null ids and no links. An empty table gives an empty
-result. Repeated rows appear each.
+without links. Null ids get null ids, classes and groups and no links. An empty
+table gives an empty result. Repeated rows appear each, and ``keep_one`` keeps or
+drops them together. Rows that share an id but not their n-grams are different
+documents: each has the links of its own text, and one going does not take the
+other along; ids in the result do not tell them apart.
 """
 
 from __future__ import annotations
@@ -47,6 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.operators.network import components, spread_join
 from contactloom.session import prepare
 
 #: Words in an n-gram, similarity of a link, recall of a pair exactly at it.
@@ -109,7 +117,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """id, key (a digest of the n-gram set), size and band hashes of every row: the sets themselves are not shipped."""
+    """id, th (a hash of the text), node, key (a digest of the n-gram set), size and band hashes of every row: the sets are not shipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,58 +125,71 @@ def _signed(docs: DataFrame, id: str, text: str, n: int, bands: int, rows: int)
             flat = [band_hashes(g, bands, rows) if len(g) else g for g in sets]
             ends = np.cumsum([0] + [len(f) for f in flat]).astype(np.int32)
             hashes = pa.array(np.concatenate([*flat, np.empty(0, dtype=np.int64)]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([_digest(g) for g in sets], pa.binary()),
-                    pa.array([len(g) for g in sets], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), hashes),
-                ],
-                names=["id", "key", "n", "bands"],
-            )
+            keys = [_digest(g) for g in sets]
+            nodes = [None if i is None else _node(i, k) for i, k in zip(batch.column(0).to_pylist(), keys, strict=True)]
+            arrays = [
+                batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.binary()),
+                pa.array([len(g) for g in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), hashes),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "th", "node", "key", "n", "bands"])
 
-    return _narrow(docs, id, text).mapInArrow(run, "id long, key binary, n int, bands array<bigint>")
+    return _narrow(docs, id, text).mapInArrow(run, "id long, th long, node binary, key binary, n int, bands array<bigint>")
 
 
 def _digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def _node(id: int, key: bytes) -> bytes:
+    """Id and digest as bytes that sort by id: rows that share an id but not their n-grams are told apart."""
+    return (id + (1 << 63)).to_bytes(8, "big") + key
+
+
+def _id_of(node: Column) -> Column:
+    number = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (number - F.expr("9223372036854775808BD")).cast("long")
+
+
 def _narrow(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
-    """id, n-gram set and places of the rows whose set has the digest ``of``."""
+    """Node, n-gram set and places of the rows whose id and set are those of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            right = [i for i, (g, of) in enumerate(zip(sets, batch.column("of").to_pylist(), strict=True)) if _digest(g) == of]
+            right = [i for i, (g, of) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if _digest(g) == of[8:]]
             sets = [sets[i] for i in right]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = pa.array(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))
             rest = batch.take(pa.array(right, pa.int32()))
-            arrays = [rest.column("id"), pa.ListArray.from_arrays(pa.array(ends), flat), rest.column("places")]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "grams", "places"])
+            arrays = [rest.column("node"), pa.ListArray.from_arrays(pa.array(ends), flat), rest.column("places")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "grams", "places"])
 
-    return rows.mapInArrow(run, f"id long, grams array<bigint>, places array<{PLACE}>")
+    return rows.mapInArrow(run, f"node binary, grams array<bigint>, places array<{PLACE}>")
 
 
-PLACE = "struct<la:int,ia:int,lb:int,ib:int,side:int,cluster:bigint>"
+PLACE = "struct<la:int,ia:int,lb:int,ib:int,side:int,cluster:binary>"
 TASK = ["cluster", "la", "ia", "lb", "ib"]
 
 
 def _clusters(classes: DataFrame) -> DataFrame:
-    """id and cluster of the representatives that share a bucket with another."""
-    banded = classes.where("n > 0").select(F.col("class_id").alias("id"), F.explode("bands").alias("h"))
-    lows = banded.groupBy("h").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "low")
-    stars = banded.join(lows, "h").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    return components(stars).withColumnRenamed("group_id", "cluster")
+    """Node and cluster of the representatives that share a bucket with another.
+
+    A bucket's rows all point to its smallest node. Common buckets are joined by
+    broadcast, so that none of them fills a task.
+    """
+    banded = classes.where("n > 0").select("node", F.explode("bands").alias("h"))
+    lows = banded.groupBy("h").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").checkpoint()
+    total = lows.agg(F.sum("c")).first()[0] or 0
+    stars = spread_join(banded, lows, "h", total).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return components(stars).withColumnRenamed("component", "cluster")
 
 
 def _places(clusters: DataFrame, classes: DataFrame, similarity: float, block_rows: int, block_grams: int) -> DataFrame:
-    """id, of (digest) and the tasks of every clustered representative.
+    """Node and the tasks of every clustered representative.
 
     A cluster that fits one block has one task. Otherwise blocks are numbered
     within a level; block i of level la meets block j of level lb for lb = la,
@@ -176,13 +197,13 @@ def _places(clusters: DataFrame, classes: DataFrame, similarity: float, block_ro
     1 or 2.
     """
     width = math.log(1 / similarity) * (1 + 1e-9)
-    rows = clusters.join(classes.select(F.col("class_id").alias("id"), "key", "n"), "id")
-    rows = rows.withColumn("l", F.floor(F.log("n") / width).cast("int"))
+    rows = clusters.join(classes.select("node", "class_id", "n"), "node")
+    rows = rows.withColumn("l", F.floor(F.log("n") / width).cast("int")).checkpoint()
     levels = rows.groupBy("cluster", "l").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     levels = levels.withColumn("m", F.ceil(F.greatest(F.col("c") / block_rows, F.col("s") / block_grams)).cast("int"))
     large = levels.groupBy("cluster").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("l", "m"))).alias("blocks"))
-    large = large.where((F.col("c") > block_rows) | (F.col("s") > block_grams)).select("cluster", "blocks")
-    rows = rows.join(large, "cluster", "left").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("l")]).cast("int"))
+    large = large.where((F.col("c") > block_rows) | (F.col("s") > block_grams)).select("cluster", "blocks", "c")
+    rows = spread_join(rows, large, "cluster", rows.count(), how="left").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("l")]).cast("int"))
 
     def meets(level: Column, place: Callable[[Column], Column]) -> Column:
         count = F.coalesce(F.try_element_at("blocks", level), F.lit(0))
@@ -197,7 +218,7 @@ def _places(clusters: DataFrame, classes: DataFrame, similarity: float, block_ro
     above = meets(l + 1, lambda j: place(l, i, l + 1, j, F.lit(1)))
     below = meets(l - 1, lambda j: place(l - 1, j, l, i, F.lit(2)))
     alone = F.array(place(zero, zero, zero, zero, zero))
-    return rows.select("id", F.col("key").alias("of"), F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(own, above, below)).alias("places"))
+    return rows.select(F.col("class_id").alias("id"), "node", F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(own, above, below)).alias("places"))
 
 
 def shared_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -227,101 +248,90 @@ def shared_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def _linked(similarity: float) -> Callable[[pa.Table], pa.Table]:
-    """Compares the blocks of one task."""
+def _linked(similarity: float, pairs: bool) -> Callable[[pa.Table], pa.Table]:
+    """Compares the blocks of one task: its links (pairs), or for each node with a link their number and the smallest node in reach."""
 
     def run(task: pa.Table) -> pa.Table:
-        # repeated rows of an id carry the same set
-        ids, first = np.unique(task.column("id").to_numpy(), return_index=True)
-        task = task.take(pa.array(first))
+        # repeated rows of a node carry the same set
+        first: dict[bytes, int] = {}
+        for i, node in enumerate(task.column("node").to_pylist()):
+            first.setdefault(node, i)
+        nodes = sorted(first)
+        task = task.take(pa.array([first[k] for k in nodes], pa.int64()))
         side, grams = task.column("side").to_numpy(), task.column("grams").combine_chunks()
         ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
         sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         shared, sizes = shared_grams(sets, left, right), np.diff(ends).astype(np.float64)
-        score = np.zeros((len(ids), len(ids)))
+        score = np.zeros((len(nodes), len(nodes)))
         score[np.ix_(left, right)] = shared / (sizes[left][:, None] + sizes[right][None, :] - shared)
         score = np.maximum(score, score.T)
         np.fill_diagonal(score, 0)
         hit = score >= similarity
-        low = np.arange(len(ids))
+        if pairs:
+            a, b = np.nonzero(np.triu(hit))
+            return pa.table([pa.array([nodes[i] for i in x], pa.binary()) for x in (a, b)] + [pa.array(score[a, b])], names=["a", "b", "jaccard"])
+        low = np.arange(len(nodes))
         while True:
-            near = np.minimum(low, np.where(hit, low[None, :], len(ids)).min(axis=1, initial=len(ids)))
+            near = np.minimum(low, np.where(hit, low[None, :], len(nodes)).min(axis=1, initial=len(nodes)))
             near = near[near]
             if (near == low).all():
                 break
             low = near
         some = np.flatnonzero(hit.any(axis=1))
-        rows, columns = np.nonzero(hit[some])
-        ends = pa.array(np.r_[0, np.cumsum(hit[some].sum(axis=1))].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (ids[columns], score[some][rows, columns])]
-        return pa.table([pa.array(ids[some]), lists[0], lists[1], pa.array(ids[low[some]])], names=["id", "links", "jaccard", "low"])
+        names = [pa.array([nodes[i] for i in x], pa.binary()) for x in (some, low[some])]
+        return pa.table([names[0], pa.array(hit[some].sum(axis=1).astype(np.int64)), names[1]], names=["node", "n_links", "low"])
 
     return run
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL,
-         block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
-    """(members, linked): id and class_id of every row; for every linked class and task id, links, jaccard and low.
-
-    ``links`` and ``jaccard`` list the classes linked to ``id`` that the task
-    holds, each link in one task only; ``low`` is the smallest id that ``id``
-    reaches there. ``pairs`` turns them into rows of pairs.
-    """
+def _join(docs: DataFrame, id: str, text: str, pairs: bool, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL,
+          block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, found): every row with its key, the classes of equal n-gram sets, and what the tasks find."""
     prepare(docs.sparkSession)
     rows = _signed(docs, id, text, n, *banding(similarity, recall)).checkpoint()
-    named = rows.where("id IS NOT NULL")
-    # only the smallest id of a class carries its bands on; map-side combined
-    classes = named.groupBy("key").agg(F.min("id").alias("class_id"), F.min_by(F.struct("n", "bands"), "id").alias("s"))
-    classes = classes.select("key", "class_id", "s.n", "s.bands").checkpoint()
-    members = rows.select("id", "key").join(classes.select("key", "class_id"), "key", "left")
-    members = members.select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    # only the smallest node of a class carries its bands on; map-side combined
+    classes = rows.where("id IS NOT NULL").groupBy("key").agg(F.min("node").alias("node"), F.min_by(F.struct("id", "n", "bands"), "node").alias("s"), F.count(F.lit(1)).alias("c"))
+    classes = classes.select("key", "node", F.col("s.id").alias("class_id"), "s.n", "s.bands", "c").checkpoint()
     places = _places(_clusters(classes), classes, similarity, block_rows, block_grams).checkpoint()
     few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-    texts = _narrow(docs, id, text).join(F.broadcast(places) if few else places, "id")
-    sets = _sets(texts, n).select("id", "grams", F.explode("places").alias("p")).select("id", "grams", "p.*")
-    linked = sets.groupBy(*TASK).applyInArrow(_linked(similarity), "id long, links array<bigint>, jaccard array<double>, low long")
-    return members, linked
-
-
-def pairs(linked: DataFrame) -> DataFrame:
-    """a, b and jaccard of linked classes, a < b."""
-    each = linked.select(F.col("id").alias("a"), F.explode(F.arrays_zip("links", "jaccard")).alias("p"))
-    return each.select("a", F.col("p.links").alias("b"), F.col("p.jaccard").alias("jaccard")).where("a < b")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, group_id) of every linked id: the smallest id that it reaches."""
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).checkpoint()
-    label = both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("g")).checkpoint()
-    while True:
-        # the smallest label among neighbours, then the label of that label
-        near = both.join(label.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("g").alias("m"))
-        low = label.join(near, "id").select("id", "g", F.least("g", "m").alias("m"))
-        hop = label.select(F.col("id").alias("m"), F.col("g").alias("far"))
-        low = low.join(hop, "m", "left").select("id", F.col("g").alias("old"), F.least("m", "far").alias("g")).checkpoint()
-        if low.where("old <> g").isEmpty():
-            return low.select("id", F.col("g").alias("group_id"))
-        label = low.select("id", "g")
-
-
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """One row for each row: id, class_id, group_id, n_links, links (linked class ids, sorted)."""
-    members, linked = join(docs, id, text, **options)
-    linked = linked.select("id", "links", "low").checkpoint()
-    listed = linked.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
-    edges = linked.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    found = listed.join(components(edges), "id").withColumnRenamed("id", "class_id")
-    return members.join(found, "class_id", "left").select(
-        F.col("id").alias(id), "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
-        F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("links", F.array().cast("array<bigint>")).alias("links"),
+    texts = _narrow(docs, id, text).drop("th").join(F.broadcast(places) if few else places, "id")
+    sets = _sets(texts, n).select("node", "grams", F.explode("places").alias("p")).select("node", "grams", "p.*")
+    schema = "a binary, b binary, jaccard double" if pairs else "node binary, n_links long, low binary"
+    return rows, classes, sets.groupBy(*TASK).applyInArrow(_linked(similarity, pairs), schema)
+
+
+def pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
+    """a, b and jaccard of the linked classes, named by their smallest ids, a <= b (equal only where two texts share an id)."""
+    found = _join(docs, id, text, True, **options)[2]
+    return found.select(_id_of(F.col("a")).alias("a"), _id_of(F.col("b")).alias("b"), "jaccard")
+
+
+def _grouped(docs: DataFrame, id: str, text: str, **options: float) -> DataFrame:
+    """id, th, node, n, class_id, group (the smallest node of its component, null without links) and n_links of every row."""
+    rows, classes, found = _join(docs, id, text, False, **options)
+    found = found.checkpoint()
+    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "group")
+    linked = counts.join(groups, "node")
+    about = classes.select("key", "node", "class_id", "c").join(linked, "node", "left").select("key", F.col("node").alias("class"), "class_id", "group", "n_links", "c")
+    return spread_join(rows.drop("bands"), about, "key", rows.count(), how="left")
+
+
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
+    """One row for each row: id, class_id, group_id and n_links (the classes that its class is linked to)."""
+    named = F.col("id").isNotNull()
+    group = F.coalesce(_id_of(F.col("group")), F.col("class_id"))
+    return _grouped(docs, id, text, **options).select(
+        F.col("id").alias(id), F.when(named, F.col("class_id")).alias("class_id"), F.when(named, group).alias("group_id"),
+        F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
     """The documents with the smallest id of their group; rows with a null id, and texts without words, all stay."""
-    groups = near_groups(docs, id, text)
-    gone = groups.where(F.col(id) != F.col("group_id")).select(id).distinct()
-    empty = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[\p{L}\p{N}]")
-    return docs.where(empty).unionByName(docs.where(~empty).join(gone, id, "left_anti").select(*docs.columns))
+    kept = F.coalesce("group", "class")
+    gone = _grouped(docs, id, text, **options).where((F.col("n") > 0) & (F.col("node") != kept)).select("id", "th").distinct()
+    names = [k + "_" * max(map(len, docs.columns)) for k in ("id", "th")]
+    here = (F.col(f"`{id}`").cast("long") == F.col(names[0])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(names[1]))
+    return docs.join(gone.toDF(*names), here, "left_anti")

@@ -117,20 +117,33 @@ def test_join_against_all_pairs(spark, options):
             texts.append(" ".join(c))
     sets = [frozenset(ngram_join.shingles(t).tolist()) for t in texts]
     rows = {x.doc_id: x for x in ngram_join.near_groups(_docs(spark, texts), **options).collect()}
-    first = {}
+    first, links = {}, {}
     for i, s in enumerate(sets):
         first.setdefault(s, i)
     for i, s in enumerate(sets):
         want = sorted(k for o, k in first.items() if o and s and o != s and len(o & s) >= 0.8 * len(o | s) - 1e-12)
-        assert rows[i].class_id == first[s] and rows[i].links == want and rows[i].n_links == len(want)
-    _, linked = ngram_join.join(_docs(spark, texts), **options)
-    found = sorted((x.a, x.b) for x in ngram_join.pairs(linked).collect())
-    assert found == sorted((i, k) for i, x in rows.items() if i == x.class_id for k in x.links if i < k)
+        links[first[s]] = want
+        assert rows[i].class_id == first[s] and rows[i].n_links == len(want)
+    found = sorted((x.a, x.b) for x in ngram_join.pairs(_docs(spark, texts), **options).collect())
+    assert found == sorted((i, k) for i, x in links.items() for k in x if i < k)
+    reach = {i: i for i in links}
+    for _ in links:
+        reach = {i: min([reach[i], *(reach[k] for k in x)]) for i, x in links.items()}
+    assert all(rows[i].group_id == reach[first[s]] for i, s in enumerate(sets))
     assert ngram_join.near_groups(_docs(spark, texts).where("false"), **options).count() == 0
     kept = {x.doc_id for x in ngram_join.keep_one(_docs(spark, texts)).collect()}
     assert {0, 1} <= kept and len(kept - {0, 1}) == len({x.group_id for i, x in rows.items() if i > 1})
 
 
+def test_join_with_null_ids_and_ids_of_two_texts(spark):
+    words = [f"v{i}" for i in range(40)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words))
+    docs = spark.createDataFrame([(1, one, "a"), (2, near, "b"), (2, other, "c"), (2, near, "d"), (None, one, "e"), (3, None, "f"), (-4, near, "g")], "doc_id long, text string, th string")
+    found = sorted(map(tuple, ngram_join.near_groups(docs).collect()), key=str)
+    assert found == sorted([(1, 1, -4, 1), (2, -4, -4, 1), (2, 2, 2, 0), (2, -4, -4, 1), (None, None, None, 0), (3, 3, 3, 0), (-4, -4, -4, 1)], key=str)
+    assert sorted(r.th for r in ngram_join.keep_one(docs).collect()) == ["c", "e", "f", "g"]
+
+
 def test_bpe_as_tiktoken():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
