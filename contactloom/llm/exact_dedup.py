@@ -7,9 +7,10 @@ points in its original text stays; ties go to the smallest id, null ids last.
 How it runs, all in the JVM:
 
 1. One narrow pass counts rows per 64-bit hash of the normalised text, combined
-   before the shuffle. Hashes with more than ``rows / (4 * partitions)`` rows are
-   *hot*; there are at most ``4 * partitions`` of them by construction, which is
-   the proven bound under which that list is broadcast.
+   before the shuffle. Hashes with more than ``rows / (4 * partitions)`` rows, and
+   more than ``FEW`` (which any task can hold), are *hot*; there are at most
+   ``4 * partitions`` of them by construction, which is the proven bound under
+   which that list is broadcast.
 2. Cold rows are range-partitioned by sampled splitters over (leading
    characters, hash), sorted externally by the whole normalised text, and
    neighbours are compared in full by the window operator.
@@ -32,8 +33,10 @@ from contactloom.session import partitions, prepare
 
 #: The white space that does not count.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-#: Characters of the normalised text that lead the range key.
-LEAD = 16
+#: Characters of the normalised text that lead the range key: splitters are sampled keys and come to the driver, so whole texts cannot be.
+LEAD = 64
+#: Rows of a group that are sorted in one task, whatever the size of the table.
+FEW = 1_000
 
 
 def normalised(text: Column) -> Column:
@@ -44,16 +47,12 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def _hot(docs: DataFrame, text: str, width: int) -> DataFrame:
+def _hot(docs: DataFrame, text: str, width: int, few: int) -> DataFrame:
     """Hashes of the groups that are too large for one task: at most 4 * width rows."""
-    limit = max(1, docs.count() // (4 * width))
-    return (
-        docs.select(F.xxhash64(normalised(F.col(text))).alias("h"))
-        .groupBy("h")
-        .count()
-        .where(F.col("count") > limit)
-        .select("h")
-    )
+    # one read of the texts: only groups above ``few`` can be hot, and the counts are 16 bytes a group
+    counts = docs.select(F.xxhash64(normalised(F.col(text))).alias("h")).groupBy("h").count().checkpoint()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.where(F.col("count") > max(few, total // (4 * width))).select("h")
 
 
 def _packed(docs: DataFrame, id: str, text: str, carry: Column) -> DataFrame:
@@ -80,10 +79,10 @@ def _best() -> Column:
     return F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
 
 
-def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """The rows that stay, with all columns of ``docs``."""
     width = partitions(prepare(docs.sparkSession))
-    hot = F.broadcast(_hot(docs, text, width))
+    hot = F.broadcast(_hot(docs, text, width, few))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = _packed(docs, id, text, whole)
     ranged, _, order = _sorted(packed.join(hot, "h", "left_anti"), width)
@@ -97,10 +96,10 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return cold.unionByName(large)
 
 
-def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, n_chars."""
     width = partitions(prepare(docs.sparkSession))
-    hot = F.broadcast(_hot(docs, text, width))
+    hot = F.broadcast(_hot(docs, text, width, few))
     packed = _packed(docs, id, text, F.lit(None))
     ranged, group, order = _sorted(packed.join(hot, "h", "left_anti"), width)
     cold = ranged.select(
