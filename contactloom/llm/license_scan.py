@@ -175,10 +175,11 @@ def _groups(rules: list[Rule]) -> Column:
 
 def _resolved(spans: Column, levels: list[int]) -> Column:
     """Drops contained detections. In order of start (longest first), a detection is
-    inside an earlier one exactly if the furthest end so far reaches its own end."""
+    inside an earlier one exactly if the furthest end so far reaches its own end.
+    Equal detections follow each other there, and the first one stays."""
     order = F.array_sort(
         F.transform(
-            F.array_distinct(spans),
+            spans,
             lambda s: F.struct(s["first"].alias("first"), (-s["last"]).alias("neg"), (-s["priority"]).alias("rank"), s["label"].alias("label"), (~s["base"]).alias("method")),
         )
     )
@@ -186,6 +187,7 @@ def _resolved(spans: Column, levels: list[int]) -> Column:
         *[F.lit(0).alias(f"e{p}") for p in levels],
         F.lit(0).alias("covered"),
         F.lit(0).alias("end"),
+        F.lit(None).cast("struct<first:int,neg:int,rank:int,label:string,method:boolean>").alias("former"),
         F.array().cast(f"array<{_SPAN}>").alias("kept"),
     )
 
@@ -194,12 +196,13 @@ def _resolved(spans: Column, levels: list[int]) -> Column:
         inside = F.lit(False)
         for p in levels:
             inside = inside | ((priority <= p) & (acc[f"e{p}"] >= last))
-        keep = ~s["method"] | ~inside
+        keep = (~s["method"] | ~inside) & ~s.eqNullSafe(acc["former"])
         span = F.struct(s["first"].alias("first"), last.alias("last"), priority.alias("priority"), s["label"].alias("label"), (~s["method"]).alias("base"))
         return F.struct(
             *[F.when(priority == p, F.greatest(acc[f"e{p}"], last)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in levels],
             (acc["covered"] + F.greatest(F.lit(0), last - F.greatest(s["first"], acc["end"]))).alias("covered"),
             F.greatest(acc["end"], last).alias("end"),
+            s.alias("former"),
             F.when(keep, F.concat(acc["kept"], F.array(span))).otherwise(acc["kept"]).alias("kept"),
         )
 
