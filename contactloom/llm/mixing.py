@@ -15,7 +15,7 @@ found by a range sort of the (small) source table and per-partition offsets,
 never by one task that sees every source.
 
 Defined results: null or empty text has size 0 and takes 0 words; a null source
-is a source of its own, last in order; a null id hashes as the empty string;
+is a source of its own, last in order; a null id draws by its text;
 repeated rows are separate documents; an empty table gives an empty result.
 """
 
@@ -42,9 +42,9 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
-def fraction(id: Column) -> Column:
-    """A number in [0, 1) from the id: the first 32 bits of its MD5."""
-    digits = F.substring(F.md5(F.coalesce(id.cast("string"), F.lit(""))), 1, 8)
+def fraction(id: Column, text: Column) -> Column:
+    """A number in [0, 1) from the id, or from the text where that is null: the first 32 bits of an MD5."""
+    digits = F.substring(F.md5(F.coalesce(id.cast("string"), F.concat(F.lit("~"), F.coalesce(text, F.lit(""))))), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -116,11 +116,12 @@ def plan(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str
         F.col(id).alias("id"),
         F.col(source).alias("from"),
         size_in_words(F.col(text)).alias("size"),
+        fraction(F.col(id), F.col(text)).alias("draw"),
         *([carry.alias("row")] if carry is not None else []),
     )
     joined = rows.join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, F.col("from").eqNullSafe(F.col("of")))
-    extra = (fraction(F.col("id")) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.floor("rate") + extra).drop("from", "of", "rate")
+    extra = (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", F.floor("rate") + extra).drop("from", "of", "rate", "draw")
 
 
 def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:

@@ -74,7 +74,7 @@ r AS (SELECT *, sha256(norm) AS text_sha256,
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r"""
 
 OP10_SQL = """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '~' || coalesce(text, '')) AS word, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 c AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 o AS (SELECT *, cap / weight AS ratio,
@@ -83,7 +83,7 @@ o AS (SELECT *, cap / weight AS ratio,
   sum(source_size) OVER () AS total FROM c),
 l AS (SELECT arg_min((1.5::DOUBLE * total - below) / rest, (ratio, place)) FILTER ((1.5::DOUBLE * total - below) / rest <= ratio) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN least(cap, level * weight) / source_size ELSE 0.0::DOUBLE END AS rate FROM c, l),
-u AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM d)
+u AS (SELECT *, ('0x' || substr(md5(word), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM d)
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source"""
 
