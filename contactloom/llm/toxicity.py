@@ -42,11 +42,14 @@ FIT_ROWS, WORDS, MIN_ROWS, TELLING, STARTS = 20_000, 2_000, 3, 3.0, (4, 5, 6, 7,
 TOXIC_SHARE = 4.0
 #: Penalties on weights and on changes under a swap; the score that predicts 1.
 L1, SWAP, CUT = 1e-4, 1.0, 0.3
-#: Words that name a group without saying anything of it.
+#: Words that name a group without saying anything of it, in the languages of the corpus.
 IDENTITY = (
     "women", "men", "muslims", "christians", "jews", "hindus", "buddhists", "atheists",
     "immigrants", "refugees", "gay", "lesbian", "straight", "transgender", "black", "white",
     "asian", "latino", "african", "european", "american", "deaf", "blind", "disabled", "old", "young",
+    "frauen", "männer", "muslime", "juden", "christen", "einwanderer", "flüchtlinge", "schwule", "lesben", "behinderte",
+    "femmes", "hommes", "musulmans", "juifs", "chrétiens", "immigrés", "réfugiés", "homosexuels", "lesbiennes", "handicapés",
+    "mujeres", "hombres", "musulmanes", "judíos", "cristianos", "inmigrantes", "refugiados", "homosexuales", "lesbianas", "discapacitados",
 )
 _words = re.compile(r"[^\W_]+").findall
 _sentences = re.compile(r"[.!?\n]").split
