@@ -25,13 +25,20 @@ def _docs(spark, texts):
 AWKWARD = [None, "", " \t", "a b", "ab", "é" * 5000, " ".join(WORDS), " ".join(WORDS[:-1] + ["z"]), " ".join(WORDS), "lone word", "\x00 nul"]
 
 
-def test_exact_dedup(spark):
-    rows = {r.doc_id: r for r in exact_dedup.duplicate_groups(_docs(spark, AWKWARD)).collect()}
+@pytest.mark.parametrize("few", [1, exact_dedup.FEW])
+def test_exact_dedup(spark, few):
+    rows = {r.doc_id: r for r in exact_dedup.duplicate_groups(_docs(spark, AWKWARD), few=few).collect()}
     assert rows[0].keep_id == rows[1].keep_id == rows[2].keep_id == 2 and rows[4].keep_id == 3 and rows[8].keep_id == 6
-    kept = exact_dedup.exact_dedup(_docs(spark, AWKWARD))
+    kept = exact_dedup.exact_dedup(_docs(spark, AWKWARD), few=few)
     assert kept.columns == ["doc_id", "text", "source", "id", "h"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 9, 10]
-    assert exact_dedup.duplicate_groups(_docs(spark, AWKWARD).where("false")).count() == 0
+    assert exact_dedup.duplicate_groups(_docs(spark, AWKWARD).where("false"), few=few).count() == 0
+    # fully repeated rows, null ids and texts that differ late, in both ways of sorting
+    long = "z" * 200
+    again = spark.createDataFrame([(1, long), (1, long), (None, long), (2, long + "a"), (None, " "), (7, long + "\t"), (7, "a")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(again, few=few).collect()), key=str)
+    assert got == sorted([(1, 7, 4, False), (1, 7, 4, False), (None, 7, 4, False), (2, 2, 1, True), (None, None, 1, True), (7, 7, 4, True), (7, 7, 1, True)], key=str)
+    assert exact_dedup.exact_dedup(again, few=few).count() == 4
 
 
 def test_media_round_trip_and_colour():
