@@ -33,7 +33,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, bound Arrow batches, and give reliable checkpoints a folder.
 
     The cluster's ``spark.checkpoint.dir`` always wins. A folder of our own is
-    set only where the setting is absent, which is the case in tests.
+    set only where the setting is absent and everything runs on one machine, as in
+    tests; elsewhere a missing setting is an error, as a folder of one machine
+    would be lost with it.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -42,9 +44,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/contactloom"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints/contactloom")
     return spark
 
 

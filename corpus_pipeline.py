@@ -2,6 +2,14 @@
 
 Each stage reads what its predecessor kept, from Parquet. All but the last
 return the columns of their input.
+
+Defined results: nulls in any column are carried; null and empty texts pass the
+classifier unless its intercept rejects them, are copies of each other, have no near
+copies, and have size 0, so that the mixture takes them by the rate 0 or not at all
+in a source without words; null ids are never near copies and draw by their text;
+repeated rows are exact copies; an empty table gives an empty result. A lost
+executor costs the tasks it held: what a stage has written lies in the shared
+checkpoint folder, and a stage's input is removed once its output is there.
 """
 
 from __future__ import annotations
@@ -61,10 +69,19 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     # the checkpoint folder is the one that executors and driver share
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    former = None
     for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place + 1 < len(STAGES):
             path = f"{folder}/{place}-{name}"
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if former:
+                _remove(spark, former)
+            docs, former = spark.read.parquet(path), path
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
