@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contactloom.operators import intervals
 from contactloom.sources import tracks
@@ -18,9 +19,23 @@ LINKER, SEED, STARTS = "CTGTCTCTTATACACATCT", 9, ("CATG", "AATT", "NATG", "NATT"
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq and qual of records that begin lines of their own: four lines each, parted at the @ after a line end."""
-    rows = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", "^@", ""), "\n").alias("f"))
-    return rows.where(F.size("f") >= 4).select(F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(1)).alias("seq"), F.get("f", F.lit(3)).alias("qual"))
+    """name, seq and qual of records of four lines each.
+
+    Lines are numbered by file: a block's lines follow each other in one task, and what
+    the blocks before it hold is added up. Qualities may begin like names, so nothing but
+    the number tells them apart.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    line = F.col("ahead") + F.col("id") - F.col("first")
+    rows = lines.join(ahead, ["file", "block"]).select("file", F.floor(line / 4).alias("record"), F.pmod(line, F.lit(4)).alias("part"), "value")
+    of = {0: "name", 1: "seq", 3: "qual"}
+    got = rows.groupBy("file", "record").agg(*[F.max(F.when(F.col("part") == i, F.col("value"))).alias(k) for i, k in of.items()])
+    return got.where("qual IS NOT NULL").select(F.regexp_replace("name", "^@", "").alias("name"), "seq", "qual")
 
 
 def reverse_complement(seq: Column) -> Column:

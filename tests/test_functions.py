@@ -1,18 +1,30 @@
 import math
+from decimal import Decimal, localcontext
+from fractions import Fraction
 
-from contactloom.functions.tails import FLOOR, binomial_tail, poisson_tail
+import numpy as np
+
+from contactloom.functions import tails
 from contactloom.operators import intervals, network, pets
 from contactloom.sources import formats
 
 
 def test_tails_against_sums():
-    for k, mu in ((1, 1.0), (5, 2.5), (3, 10.0), (40, 30.0)):
-        want = 1 - sum(math.exp(-mu) * mu**i / math.factorial(i) for i in range(k))
-        assert math.isclose(poisson_tail(k, mu), want, rel_tol=1e-8)
-    for k, n, p in ((1, 10, 0.1), (5, 10, 0.5), (2, 30, 0.3)):
-        want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
-        assert math.isclose(binomial_tail(k, n, p), want, rel_tol=1e-8)
-    assert poisson_tail(0, 3) == 1 and poisson_tail(2, 0) == FLOOR and poisson_tail(5000, 1e-3) == FLOOR
+    k, mu = np.array([1, 5, 3, 40, 900, 100]), np.array([1.0, 2.5, 10.0, 30.0, 1000.0, 1e-3])
+    with localcontext() as c:
+        c.prec = 60
+        want = [max(tails.FLOOR, float(1 - sum((-Decimal(m)).exp() * Decimal(m) ** i / math.factorial(i) for i in range(a)))) for a, m in zip(k.tolist(), mu.tolist())]
+    assert np.allclose(tails.poisson_tail(k, mu), want, rtol=1e-8, atol=0)
+    for k, n, p in ((1, 10, 0.1), (5, 10, 0.5), (2, 30, 0.3), (30, 30, 0.01), (700, 2000, 0.2)):
+        want = float(sum(math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k, n + 1)))
+        assert np.allclose(tails.binomial_tail(k, n, p), max(want, tails.FLOOR), rtol=1e-8, atol=0)
+    for k, total, marked, drawn in ((1, 50, 5, 10), (4, 50, 5, 10), (30, 200, 60, 80), (2, 10, 8, 6), (20, 5000, 40, 300)):
+        want = sum(Fraction(math.comb(marked, i) * math.comb(total - marked, drawn - i), math.comb(total, drawn)) for i in range(k, min(marked, drawn) + 1))
+        assert np.allclose(tails.hypergeometric_tail(k, total, marked, drawn), float(want), rtol=1e-8, atol=0)
+    assert np.allclose(tails.chi_square_tail([0.0, 6.6348966010212145, 3.841458820694124]), [1, 0.01, 0.05])
+    assert tails.poisson_tail([0, 2, 5000, np.nan], [3, 0, 1e-3, 1]).tolist()[:3] == [1, tails.FLOOR, tails.FLOOR] and np.isnan(tails.poisson_tail(np.nan, 1.0)[0])
+    assert tails.binomial_tail([0, 3, 3, 2], [5, 2, 3, 4], [0.5, 0.5, 1.0, 0.0]).tolist() == [1, tails.FLOOR, 1, tails.FLOOR]
+    assert np.allclose(tails.log_gamma([0.5, 1, 2, 10.5, 1e6]), [math.lgamma(v) for v in (0.5, 1, 2, 10.5, 1e6)], rtol=1e-12, atol=1e-12)
 
 
 def test_canonical_orders_both_kinds(spark):
