@@ -68,6 +68,7 @@ def islands(scores: DataFrame, size: int, cut: float = 0.0, least: int = 10) ->
     """Runs of two neighbouring places at least with ss above ``cut``, longer than ``least`` bins: chrom, start, end, length, ss (their mean)."""
     high = scores.where(F.col("ss") > cut)
     runs = intervals.stitch(high.select(F.col("key").alias("chrom"), F.col("i").alias("start"), F.col("i").alias("end")), 1).select("chrom", F.col("start").alias("first"), F.col("end").alias("last"))
+    runs = runs.checkpoint()
     held = intervals.hits(high.select(F.col("key").alias("chrom"), "i", "ss", F.col("start").alias("s"), F.col("end").alias("e")), "i", runs.select("chrom", F.col("first").alias("start"), F.col("last").alias("end")))
     out = held.groupBy("chrom", "start").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.avg("ss").alias("ss"), F.count(F.lit(1)).alias("places"))
     out = out.where((F.col("places") >= 2) & (F.col("e") - F.col("s") > least * size))

@@ -110,7 +110,7 @@ def tested(points: DataFrame, peaks: DataFrame, total: int, min_pts: int, pcut:
         rows = rows.join(back, "peak_id").withColumn("control_density", rpkm(F.col("control_counts"), F.col("length"), control_total))
         rows = rows.withColumn("es_control", F.coalesce(F.try_divide("density", F.nullif("control_density", F.lit(0.0))), F.lit(100.0))).where(F.col("es_control") >= escut)
     extreme = F.array_min("pvalues") if sensitive else F.array_max("pvalues")
-    rows = rows.where((extreme <= pcut) & (F.col("length") >= least))
+    rows = rows.where((extreme <= pcut) & (F.col("length") >= least)).checkpoint()
     return rows.join(summits(points, rows), "peak_id", "left").drop("near", "per_base")
 
 

@@ -57,13 +57,15 @@ def agg_viewpoints(spark, d):
     return profiles.viewpoint_cells(_dense_pets(spark, d), tables.hub_regions(spark, d), 10_000, 10_000, 1_000)
 
 
-_BINS = "region_id, (i)::INT AS bin, round(sum((least(e, b) - greatest(s, a)) * v) / any_value(w), 6) AS value"
+_BINS = "region_id, (i)::INT AS bin, round(sum((least(e, b) - greatest(s, a)) * v), 6) AS total"
 
 
 @plan(", r AS (SELECT region_id, chrom, s AS rs, (e - s) // 10 AS w FROM regions WHERE e - s >= 200), g AS (SELECT region_id, chrom, i, w, rs + i * w AS a, rs + (i + 1) * w AS b FROM r, generate_series(0, 9) t(i)) SELECT " + _BINS + " FROM g JOIN signal ON signal.chrom = g.chrom AND s < b AND e > a GROUP BY region_id, i")
 def signal_profiles(spark, d):
     r = tables.regions(spark, d).where("end - start >= 200")
-    return profiles.signal_profiles(tables.signal(spark, d), r, 10).withColumn("value", F.round("value", 6))
+    # means times the width of a bin: sums have as many places as the values, so no rounding is a tie
+    got = profiles.signal_profiles(tables.signal(spark, d), r, 10).join(r.selectExpr("region_id", "(end - start) div 10 AS w"), "region_id")
+    return got.select("region_id", "bin", F.round(F.col("value") * F.col("w"), 6).alias("total"))
 
 
 @plan(", h AS (SELECT region_id, chrom, x, y FROM regions r JOIN cis USING (chrom) WHERE x BETWEEN s AND e OR y BETWEEN s AND e) SELECT a.region_id AS id_a, b.region_id AS id_b, count(*) AS n, round(count(*) / (SELECT count(*) FROM pets) * 1e6, 6) AS per_million FROM h a JOIN h b ON a.chrom = b.chrom AND a.x = b.x AND a.y = b.y AND a.region_id < b.region_id GROUP BY ALL")

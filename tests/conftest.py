@@ -5,6 +5,6 @@ from contactloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("2", partitions=2)
+    session = local_session("*", partitions=2)
     yield session
     session.stop()
