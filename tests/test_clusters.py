@@ -175,7 +175,8 @@ def test_calls_find_planted_structure(spark):
         rows += [(int(a + p), int(b + q)) for p, q in r.integers(0, 800, (60, 2))]
         for at in (a, b):  # anchors have close pairs too
             rows += [(int(at + p), int(at + p + q)) for p, q in zip(r.integers(0, 700, 150), r.integers(30, 250, 150))]
-    rows += [tuple(sorted(map(int, p))) for p in r.integers(0, 500_000, (400, 2))]
+    # the test of the common pairs needs a chromosome that holds many more
+    rows += [tuple(sorted(map(int, p))) for p in r.integers(0, 500_000, (6000, 2))]
     pets = spark.createDataFrame([("c-c", "c", "c", x, y, y - x) for x, y in rows], "key string, chrom_a string, chrom_b string, x long, y long, dist long").distinct().checkpoint()
     got = lp.call_cis(pets, (500,), (10,)).collect()
     assert sorted((round(x.start_a, -4), round(x.start_b, -4)) for x in got) == [(50_000, 150_000), (260_000, 420_000)]
@@ -194,17 +195,18 @@ def test_trans_calls_find_planted_structure(spark):
 
 def test_differential_marks(spark):
     r = np.random.default_rng(9)
-    known = [(f"l{i}", "c", 100_000 * i, 100_000 * i + 800, 100_000 * i + 40_000, 100_000 * i + 40_800) for i in range(1, 9)]
+    known = [(f"l{i}", "c", 100_000 * i, 100_000 * i + 800, 100_000 * i + 40_000, 100_000 * i + 40_800) for i in range(1, 41)]
 
     def sample(counts):
         rows = [(int(a + p), int(c + q)) for (_, _, a, _, c, _), n in zip(known, counts) for p, q in r.integers(0, 800, (n, 2))]
-        rows += [tuple(sorted(map(int, p))) for p in r.integers(0, 900_000, (3000, 2))]
+        rows += [tuple(sorted(map(int, p))) for p in r.integers(0, 4_200_000, (3000, 2))]
         return spark.createDataFrame([("c-c", "c", "c", x, y, y - x) for x, y in rows], "key string, chrom_a string, chrom_b string, x long, y long, dist long").distinct().checkpoint()
 
     loops = spark.createDataFrame(known, "loop_id string, chrom string, start_a long, end_a long, start_b long, end_b long")
-    got = {x.loop_id.split("|")[0]: x for x in differential.call(sample([40] * 7 + [160]), sample([40] * 6 + [170, 40]), loops, loops).collect()}
-    assert len(got) == 8 and {k for k, x in got.items() if x.significant} == {"l7", "l8"}
-    assert got["l8"].scaled_fc > 1 and got["l7"].scaled_fc < -1 and 30 <= got["l1"].rab_t <= 45
+    got = {x.loop_id.split("|")[0]: x for x in differential.call(sample([40] * 39 + [400]), sample([40] * 38 + [400, 40]), loops, loops).collect()}
+    # moved anchors touch the loop too, so limits rise until fewer than a tenth of the loops differ
+    assert len(got) == 40 and {k for k, x in got.items() if x.significant} == {"l39", "l40"}
+    assert got["l40"].scaled_fc > 1 and got["l39"].scaled_fc < -1 and 30 <= got["l1"].rab_t <= 45
 
 
 def test_tiles_median_and_mean(spark):
