@@ -4,12 +4,14 @@ Decoding accumulates the scans (spectral selection and successive approximation)
 into integer coefficient arrays, dequantises, inverse-transforms all blocks at
 once in numpy, upsamples chroma to full resolution and gives an (h, w, 3) tensor.
 
-Storing puts one payload byte into each coefficient of a grey image: 64 bytes a
-block, in zigzag order, with unit quantisation, so that the coefficients read
-back are the payload, bit for bit. The image has five scans: DC without its last
+Storing puts one payload byte into each coefficient of a YCbCr image with chroma
+of half width and height: 64 bytes a block, in zigzag order, first the blocks of
+Y, then of Cb and Cr, with unit quantisation, so that the coefficients read back
+are the payload, bit for bit. Each component has five scans: DC without its last
 bit, two bands of AC without their last bits, and two refinements. AC values are
 offset by 256, which makes all of them nine bits wide: their scans are regular
-and are packed and unpacked as arrays.
+and are packed and unpacked as arrays. As in any file, pixels are cut to 0..255;
+the payload is read from the coefficients, which are not.
 
 Read are grey and YCbCr files, 8 bits a sample, Huffman-coded, with scans of one
 or of several components, restart markers and quantisation tables of 8 or 16
@@ -17,7 +19,8 @@ bits. Not read: baseline, lossless and arithmetic-coded files, 12 bits, RGB and
 CMYK files of four components; they raise ``ValueError``. Chroma is upsampled by
 repetition, without smoothing.
 
-A row in, a row out; nothing is shuffled, and one image at a time is in memory.
+A row in, a row out; nothing is shuffled, one image at a time is decoded, and
+tensors leave Python in batches of bounded size.
 
 Defined results: a null text counts as empty; the empty payload is one block of
 zeros; a damaged file raises ``ValueError``; repeated rows are stored each.
@@ -25,19 +28,23 @@ zeros; a damaged file raises ``ValueError``; repeated rows are stored each.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Payload bytes in a block, blocks in a row of the image, what AC values are offset by.
-BLOCK, ROW, OFFSET = 64, 1024, 256
+#: Payload bytes in a block, what AC values are offset by.
+BLOCK, OFFSET = 64, 256
+#: Blocks in a unit of 16 x 16 pixels (4 of luma, 1 of each chroma), units in a row of the image, rows that a file can have.
+UNIT, ROW, TALL = 6, 512, 4095
+#: What the comment of a stored file begins with; bytes of tensors after which a batch is given out.
+STORED, BATCH_BYTES = b"payload", 1 << 24
 
 
 def _zigzag() -> np.ndarray:
@@ -48,8 +55,8 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
-#: Restart markers, without and with their first byte.
-RESTARTS = frozenset(bytes([k]) for k in range(0xD0, 0xD8))
+#: A marker that ends a scan; restart markers, which do not.
+MARKER = re.compile(rb"\xff(?![\x00\xd0-\xd7])").search
 SPLIT = re.compile(rb"\xff+[\xd0-\xd7]").split
 COSINES = np.array([[np.sqrt((2 if u else 1) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
@@ -105,30 +112,41 @@ def _scan(component: int, first: int, last: int, high: int, low: int, bits: np.n
     return _segment(0xDA, bytes([1, component, 0, first, last, high << 4 | low])) + _packed(bits)
 
 
-def _component_scans(c: int, blocks: np.ndarray) -> list[bytes]:
-    """The five scans of one component's blocks: DC in 0..1023, AC in 256..511."""
-    diff = np.diff(blocks[:, 0] >> 1, prepend=0)
+def _scans(components: list[np.ndarray]) -> list[bytes]:
+    """The five scans of each component's blocks: DC in 0..1023, AC in 256..511."""
+    blocks, parts, start = np.concatenate(components), [], 0
+    half = blocks[:, 0] >> 1
+    diff = np.diff(half, prepend=0)
+    for component in components:
+        parts.append(slice(start, start + len(component)))
+        diff[start] = half[start]
+        start += len(component)
     size = np.where(diff, np.floor(np.log2(np.maximum(np.abs(diff), 1))).astype(int) + 1, 0)
     value = np.where(diff < 0, diff + (1 << size) - 1, diff)
     # the code of a category is the category; both together are 4 + size bits
     word = _bits((size << size) | value, 16)
-    dc = word[np.arange(16) >= 12 - size[:, None]]
-    ac = blocks[:, 1:] >> 1
-    coded = np.concatenate([np.zeros((*ac.shape, 1), dtype=np.uint8), _bits(ac, 8)], axis=2)
+    used = np.arange(16) >= 12 - size[:, None]
+    # halves of AC values are eight bits wide
+    coded = np.zeros((len(blocks), BLOCK - 1, 9), dtype=np.uint8)
+    coded[:, :, 1:] = np.unpackbits((blocks[:, 1:] >> 1).astype(np.uint8).ravel()).reshape(-1, BLOCK - 1, 8)
+    low = (blocks & 1).astype(np.uint8)
     refined = []
-    low = (blocks[:, 1:] & 1).astype(np.uint8)
-    for at in range(0, len(blocks), 0x7FFF):
-        run = low[at : at + 0x7FFF]
-        size_of_run = len(run).bit_length() - 1
-        refined += [_bits(np.array(size_of_run), 4), _bits(np.array(len(run)), 16)[16 - size_of_run :], run.ravel()]
+    for part in parts:
+        words = []
+        for at in range(part.start, part.stop, 0x7FFF):
+            run = low[at : min(at + 0x7FFF, part.stop), 1:]
+            size_of_run = len(run).bit_length() - 1
+            words += [_bits(np.array(size_of_run), 4), _bits(np.array(len(run)), 16)[16 - size_of_run :], run.ravel()]
+        refined.append(np.concatenate(words))
+    of = list(enumerate(parts, 1))
     return [
         _segment(0xC4, DC.segment(0) + WIDE.segment(0x10)),
-        _scan(c, 0, 0, 0, 1, dc),
-        _scan(c, 1, 5, 0, 1, coded[:, :5].ravel()),
-        _scan(c, 6, 63, 0, 1, coded[:, 5:].ravel()),
-        _scan(c, 0, 0, 1, 0, (blocks[:, 0] & 1).astype(np.uint8)),
+        *(_scan(c, 0, 0, 0, 1, word[part][used[part]]) for c, part in of),
+        *(_scan(c, 1, 5, 0, 1, coded[part, :5].ravel()) for c, part in of),
+        *(_scan(c, 6, 63, 0, 1, coded[part, 5:].ravel()) for c, part in of),
+        *(_scan(c, 0, 0, 1, 0, low[part, 0]) for c, part in of),
         _segment(0xC4, RUNS.segment(0x10)),
-        _scan(c, 1, 63, 1, 0, np.concatenate(refined)),
+        *(_scan(c, 1, 63, 1, 0, bits) for c, bits in enumerate(refined, 1)),
     ]
 
 
@@ -136,10 +154,8 @@ def write(width: int, height: int, components: list[tuple[int, int, np.ndarray]]
     """A progressive file from (h sampling, v sampling, blocks in zigzag order) for each component."""
     frame = struct.pack(">BHHB", 8, height, width, len(components))
     frame += b"".join(bytes([i, h << 4 | v, 0]) for i, (h, v, _) in enumerate(components, 1))
-    parts = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, bytes([0, *quant.tolist()])), _segment(0xC2, frame)]
-    for i, (_, _, blocks) in enumerate(components, 1):
-        parts += _component_scans(i, blocks)
-    return b"".join(parts) + b"\xff\xd9"
+    head = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, bytes([0, *quant.tolist()])), _segment(0xC2, frame)]
+    return b"".join([*head, *_scans([blocks for _, _, blocks in components]), b"\xff\xd9"])
 
 
 class _Component:
@@ -183,10 +199,7 @@ class Image:
                     self.tables[body[0]] = Table(counts, list(body[17 : 17 + sum(counts)]))
                     body = body[17 + sum(counts) :]
             elif marker == 0xDA:
-                end = at
-                while (end := data.find(b"\xff", end)) >= 0 and (data[end + 1 : end + 2] == b"\x00" or data[end + 1 : end + 2] in RESTARTS):
-                    end += 2
-                end = len(data) if end < 0 else end
+                end = found.start() if (found := MARKER(data, at)) else len(data)
                 parts = SPLIT(data[at:end]) if self.restart else [data[at:end]]
                 self._read(body, [np.unpackbits(np.frombuffer(p.replace(b"\xff\x00", b"\xff"), dtype=np.uint8)) for p in parts])
                 at = end
@@ -250,11 +263,14 @@ class Image:
 
     def pixels(self) -> np.ndarray:
         """The full-resolution RGB tensor."""
-        planes = []
+        planes, start = [], 0
+        values = np.concatenate([p.coefficients * self.quant[p.table] for p in self.parts.values()])
+        blocks = np.zeros(values.shape)
+        blocks[:, ZIGZAG] = values
+        blocks = COSINES.T @ blocks.reshape(-1, 8, 8) @ COSINES
         for p in self.parts.values():
-            block = np.zeros((len(p.coefficients), 64))
-            block[:, ZIGZAG] = p.coefficients * self.quant[p.table]
-            block = COSINES.T @ block.reshape(-1, 8, 8) @ COSINES
+            block = blocks[start : start + len(p.coefficients)]
+            start += len(block)
             plane = block.reshape(p.high, p.wide, 8, 8).swapaxes(1, 2).reshape(8 * p.high, 8 * p.wide) + 128
             if (p.v, p.h) != (self.vmax, self.hmax):
                 plane = plane[np.arange(self.height) * p.v // self.vmax][:, np.arange(self.width) * p.h // self.hmax]
@@ -306,7 +322,10 @@ def _blocks(c: np.ndarray, bits: np.ndarray, dc: Table | None, ac: Table | None,
         words = bits[: len(c) * n * (only + 1)].reshape(len(c), n, only + 1)
         if words[:, :, 0].any():
             raise ValueError("a code that the table lacks")
-        value = words[:, :, 1:].astype(np.int32) @ (1 << np.arange(only - 1, -1, -1, dtype=np.int32))
+        if only == 8:
+            value = np.packbits(words[:, :, 1:].ravel()).reshape(len(c), n).astype(np.int32)
+        else:
+            value = words[:, :, 1:].astype(np.int32) @ (1 << np.arange(only - 1, -1, -1, dtype=np.int32))
         value = np.where(value >> (only - 1), value, value - (1 << only) + 1)
         c[:, first : last + 1] = value << low
     else:
@@ -359,10 +378,10 @@ def _refine(bits: np.ndarray, table: Table, c: np.ndarray, first: int, last: int
             zeros, size = symbol >> 4, symbol & 15
             if not size and zeros < 15:
                 run = (1 << zeros) + read.take(zeros)
-                correct(c[i, k : last + 1])
-                if run > 1:
-                    correct(c[i + 1 : i + run, first : last + 1])
-                    i += run - 1
+                if k > first:
+                    correct(c[i, k : last + 1])
+                correct(c[i + (k > first) : i + run, first : last + 1])
+                i += run - 1
                 break
             new = (one if read.take(1) else -one) if size else 0
             while k <= last:
@@ -383,22 +402,21 @@ def store(data: bytes) -> bytes:
     """A progressive file that holds ``data``, filled up with zeros to a positive multiple of 64."""
     payload = np.frombuffer(data.ljust(max(BLOCK, len(data) + -len(data) % BLOCK), b"\0"), dtype=np.uint8)
     blocks = payload.reshape(-1, BLOCK).astype(np.int64)
-    wide = min(len(blocks), ROW)
-    high = -(-len(blocks) // wide)
-    if high > 8191:
-        wide = -(-len(blocks) // 8191)
-        high = -(-len(blocks) // wide)
-    all_blocks = np.zeros((wide * high, BLOCK), dtype=np.int64)
+    units = -(-len(blocks) // UNIT)
+    high = min(-(-units // ROW), TALL)
+    wide = -(-units // high)
+    units = wide * high
+    all_blocks = np.zeros((UNIT * units, BLOCK), dtype=np.int64)
     all_blocks[: len(blocks)] = blocks
     all_blocks[:, 1:] += OFFSET
-    return write(8 * wide, 8 * high, [(1, 1, all_blocks)], np.ones(64, dtype=np.uint8), struct.pack(">QQ", len(data), len(payload)))
+    luma, blue, red = np.split(all_blocks, [4 * units, 5 * units])
+    return write(16 * wide, 16 * high, [(2, 2, luma), (1, 1, blue), (1, 1, red)], np.ones(64, dtype=np.uint8), STORED + struct.pack(">QQ", len(data), len(payload)))
 
 
 def restore(image: Image) -> tuple[int, bytes]:
     """(length without fill, payload) of a stored file."""
-    n, size = struct.unpack(">QQ", image.comment)
-    (part,) = image.parts.values()
-    blocks = part.coefficients[: size // BLOCK].copy()
+    n, size = struct.unpack(">QQ", image.comment.removeprefix(STORED))
+    blocks = np.concatenate([p.coefficients for p in image.parts.values()])[: size // BLOCK]
     blocks[:, 1:] -= OFFSET
     if blocks.min() < 0 or blocks.max() > 255:
         raise ValueError("coefficients that no payload gives")
@@ -406,9 +424,9 @@ def restore(image: Image) -> tuple[int, bytes]:
 
 
 def feature(rgb: np.ndarray) -> str:
-    """Size, and counts of the red channel's values in eight ranges."""
-    counts = np.bincount(rgb[:, :, 0].ravel() >> 5, minlength=8)
-    return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ".".join(map(str, counts.tolist()))
+    """Size, and counts of the values of red, green and blue in eight ranges each."""
+    counts = [np.bincount(rgb[:, :, k].ravel() >> 5, minlength=8).tolist() for k in range(3)]
+    return f"{rgb.shape[1]}x{rgb.shape[0]}:" + "/".join(".".join(map(str, c)) for c in counts)
 
 
 def media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -421,33 +439,46 @@ def media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     return docs.withColumn(out, of(F.col(text)))
 
 
-def tensors(files: DataFrame, media: str = "media", out: str = "rgb") -> DataFrame:
-    """``files`` with width, height and full-resolution RGB bytes (row by row) of each file; null for null."""
+def _opened(data: bytes) -> dict:
+    image = Image(data)
+    rgb = image.pixels()
+    n, payload = restore(image) if image.comment.startswith(STORED) else (None, None)
+    return {"width": rgb.shape[1], "height": rgb.shape[0], "data": rgb.tobytes(), "feature": feature(rgb), "n_bytes": n, "payload": payload}
 
-    @F.pandas_udf("width int, height int, data binary")
-    def of(data: pd.Series) -> pd.DataFrame:
-        made = [None if d is None else Image(bytes(d)).pixels() for d in data]
-        rows = [(None, None, None) if m is None else (m.shape[1], m.shape[0], m.tobytes()) for m in made]
-        return pd.DataFrame(rows, columns=["width", "height", "data"])
 
-    return files.withColumn(out, of(F.col(media)))
+def tensors(files: DataFrame, media: str = "media", out: str = "rgb") -> DataFrame:
+    """``files`` with width, height, full-resolution RGB bytes (row by row) and feature of each file; null for null.
 
+    Files that ``store`` made also give their payload, and its length without fill.
+    """
+    at, kept = files.columns.index(media), [i for i, c in enumerate(files.columns) if c != out]
+    made = T.StructType.fromDDL("width int, height int, data binary, feature string, n_bytes long, payload binary")
+    schema = T.StructType([*(files.schema.fields[i] for i in kept), T.StructField(out, made)])
 
-def digests(files: DataFrame, id: str = "doc_id", media: str = "media") -> DataFrame:
-    """What is read back from each stored file: the payload's digests, and size, feature and digest of its full-resolution RGB tensor."""
-    kind = files.schema[id].dataType.simpleString()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrow = to_arrow_schema(schema)
         for batch in batches:
-            rows = []
-            for key, data in zip(batch["id"], batch["media"]):
-                data = bytes(data)
-                image = Image(data)
-                n, payload = restore(image)
-                rgb = image.pixels()
-                rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-                             len(data), hashlib.sha256(data).hexdigest(), feature(rgb), rgb.shape[1], rgb.shape[0], hashlib.sha256(rgb.tobytes()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "rgb_sha256"])
-
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, rgb_sha256 string"
-    return files.select(F.col(id).alias("id"), F.col(media).alias("media")).mapInPandas(run, schema).withColumnRenamed("id", id)
+            rows, size = [], 0
+            for end, data in enumerate(batch.column(at), 1):
+                row = _opened(data.as_py()) if data.is_valid else None
+                rows.append(row)
+                size += len(row["data"]) if row else 0
+                if size >= BATCH_BYTES or end == batch.num_rows:
+                    part = batch.slice(end - len(rows), len(rows))
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(rows, arrow.field(len(kept)).type)], names=arrow.names)
+                    rows, size = [], 0
+
+    return files.mapInArrow(run, schema)
+
+
+def digests(files: DataFrame, id: str = "doc_id", media: str = "media") -> DataFrame:
+    """Of each stored file: the digests of the payload read back, and size, feature and digest of its full-resolution RGB tensor."""
+    made = tensors(files.select(F.col(id).alias("id"), F.col(media).alias("media")))
+    payload, size = F.col("rgb.payload"), lambda c: F.octet_length(c).cast("long")
+    return made.select(
+        F.col("id").alias(id), "rgb.n_bytes", size(payload).alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -BLOCK, BLOCK)).alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "rgb.feature", "rgb.width", "rgb.height", F.sha2("rgb.data", 256).alias("rgb_sha256"),
+    )
