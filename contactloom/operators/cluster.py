@@ -18,6 +18,11 @@ links to it, or else to the first one that links to it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,21 +54,60 @@ def _neighbours(cells: DataFrame, offsets: tuple, *keep: str) -> DataFrame:
     return asked.join(cells.select("key", F.col("cx").alias("nx"), F.col("cy").alias("ny"), *keep), ["key", "nx", "ny"])
 
 
+#: Cells on a side of a tile, and cells that a Python worker takes at a time.
+TILE, CELLS = 256, 100_000
+
+
+def _tile_of(c: str) -> Column:
+    """The tiles that must know a cell: its own, and a neighbour if it is within two cells of it."""
+    own, at = F.floor(F.col(c) / TILE), F.pmod(F.col(c), F.lit(TILE))
+    return F.when(at < 2, F.array(own, own - 1)).when(at >= TILE - 2, F.array(own, own + 1)).otherwise(F.array(own))
+
+
+def _held(min_pts: int) -> Callable[[pa.Table], pa.Table]:
+    """Of cells by tile, the ones of the tile itself that are not sparse or have a neighbour that is not."""
+    width = TILE + 6
+
+    def held(cells: pa.Table) -> pa.Table:
+        code = cells["key"].combine_chunks().dictionary_encode()
+        cx, cy, tx, ty, n = (cells[c].to_numpy() for c in ("cx", "cy", "tx", "ty", "n"))
+        tile = pd.DataFrame({"k": code.indices.to_numpy(), "x": tx, "y": ty}).groupby(["k", "x", "y"], sort=False).ngroup().to_numpy()
+        # the tile with a margin of two cells, and an empty one around that
+        place = (tile * width + cx - tx * TILE + 3) * width + cy - ty * TILE + 3
+        order = np.argsort(place)
+        known = place[order]
+
+        def around(values: np.ndarray) -> np.ndarray:
+            own, out = values[order], values.copy()
+            for dx, dy in _AROUND:
+                want = place + dx * width + dy
+                at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                out += np.where(known[at] == want, own[at], 0)
+            return out
+
+        kept = around((around(n) >= min_pts).astype(np.int64)) > 0
+        return cells.select(["key", "cx", "cy"]).filter(pa.array(kept & (cx // TILE == tx) & (cy // TILE == ty)))
+
+    return held
+
+
 def without_noise(cells: DataFrame, min_pts: int) -> DataFrame:
-    """``cells`` (key, cx, cy, n, ...) without sparse ones among sparse ones: a cell is sparse if its nine hold fewer than ``min_pts``."""
-    around = _neighbours(cells, _AROUND, "n").groupBy("key", "cx", "cy").agg(F.sum("n").alias("near"))
-    sparse = cells.join(around, ["key", "cx", "cy"], "left").select("key", "cx", "cy", (F.col("n") + F.coalesce("near", F.lit(0)) < min_pts).alias("sparse"))
-    sparse = sparse.checkpoint()
-    held = _neighbours(sparse, _AROUND, F.col("sparse").alias("by")).groupBy("key", "cx", "cy").agg(F.bool_or(~F.col("by")).alias("held"))
-    noise = sparse.where("sparse").join(held.where("held"), ["key", "cx", "cy"], "left_anti")
-    return cells.join(noise, ["key", "cx", "cy"], "left_anti")
+    """The cells (key, cx, cy) of ``cells`` (key, cx, cy, n; once each, read twice) without sparse ones among sparse ones: a cell is sparse if its nine hold fewer than ``min_pts``.
+
+    Cells go by tiles with a margin, so that a cell moves once and no neighbours are joined.
+    """
+    buckets = cells.count() // CELLS + 1
+    rows = cells.select("key", "cx", "cy", F.col("n").cast("long").alias("n"), F.explode(_tile_of("cx")).alias("tx"))
+    rows = rows.select("*", F.explode(_tile_of("cy")).alias("ty"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "tx", "ty"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInArrow(_held(min_pts), "key string, cx long, cy long")
 
 
 def denoised(pets: DataFrame, eps: int = 1_000, min_pts: int = 5) -> DataFrame:
     """Cis pairs (key, x, y) outside noise cells of ``eps``."""
     rows = _celled(pets.where("dist IS NOT NULL").select("key", "x", "y"), eps, F.col("x"), F.col("y"))
     cells = rows.groupBy("key", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    return rows.join(without_noise(cells, min_pts).select("key", "cx", "cy"), ["key", "cx", "cy"], "left_semi").select("key", "x", "y")
+    return rows.join(without_noise(cells, min_pts), ["key", "cx", "cy"], "left_semi").select("key", "x", "y")
 
 
 def _within(pairs: DataFrame, points: DataFrame, eps: int, p: Column, q: Column) -> DataFrame:
@@ -120,13 +164,15 @@ def grid_clusters(points: DataFrame, eps: int, min_pts: int) -> DataFrame:
     """key, x, y, c and ``start`` (the name of its cluster within the key) of the points in clusters."""
     prepare(points.sparkSession)
     rows = _celled(counted(points), eps, F.col("x"), F.col("y")).drop("u", "v").checkpoint()
+    # noise goes before anything else is asked of points
+    kept = without_noise(rows.groupBy("key", "cx", "cy").agg(F.sum("c").alias("n")).checkpoint(), min_pts)
+    rows = rows.join(kept, ["key", "cx", "cy"], "left_semi").checkpoint()
     x, y, c = F.col("x"), F.col("y"), F.col("c")
     cells = rows.groupBy("key", "cx", "cy").agg(
         F.sum("c").alias("n"), (F.sum(x * c) / F.sum("c")).alias("mx"), (F.sum(y * c) / F.sum("c")).alias("my"),
         F.min(x).alias("min_x"), F.max(x).alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y"),
         F.min(x + y).alias("min_s"), F.max(x + y).alias("max_s"), F.min(x - y).alias("min_d"), F.max(x - y).alias("max_d"),
     ).checkpoint()
-    cells = without_noise(cells, min_pts).checkpoint()
     links = _cell_links(cells, rows, eps).checkpoint()
     sizes = cells.select("key", "cx", "cy", "n")
     near = links.join(sizes.withColumnsRenamed({"cx": "nx", "cy": "ny"}), ["key", "nx", "ny"]).groupBy("key", "cx", "cy").agg(F.sum("n").alias("near"))

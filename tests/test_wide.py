@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from contactloom.operators import estimates, matrix
+from contactloom.operators import cluster, estimates, matrix
 
 
 def test_components_of_wide_keys(spark):
@@ -37,3 +37,21 @@ def test_leading_of_close_values():
     got = estimates.leading(lambda v: a @ v, 460, 2)
     assert np.abs(np.abs(got @ q[:, [59, 58]]) - np.eye(2)).max() < 1e-5
     assert estimates.leading(lambda v: 0 * v, 3, 2).shape == (2, 3)
+
+
+def test_noise_by_tiles(spark):
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 3 * cluster.TILE, (60, 2))
+    at = np.unique(np.vstack([rng.integers(0, 3 * cluster.TILE, (4_000, 2)), np.repeat(at, 12, axis=0) + rng.integers(-2, 3, (720, 2)), [[cluster.TILE - 1 + i, cluster.TILE + j] for i in range(3) for j in range(-2, 2)]]), axis=0)
+    at = at[(at >= 0).all(axis=1)]
+    n = {k: {(int(x), int(y)): int(c) for (x, y), c in zip(at, rng.integers(1, 3, len(at)), strict=True) if k == "a" or (x + y) % 3} for k in "ab"}
+    rows = spark.createDataFrame([(k, *c, v) for k in "ab" for c, v in n[k].items()], "key string, cx long, cy long, n long")
+    nine = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    full = {(k, x, y) for k in "ab" for x, y in n[k] if sum(n[k].get((x + i, y + j), 0) for i, j in nine) >= 6}
+    want = {(k, x, y) for k in "ab" for x, y in n[k] if any((k, x + i, y + j) in full for i, j in nine)}
+    kept = cluster.without_noise(rows, 6)
+    got = [(r.key, r.cx, r.cy) for r in kept.collect()]
+    assert 100 < len(want) < len(rows.collect()) and set(got) == want and len(got) == len(want)
+    # a cell moves once: neighbours are not joined
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
