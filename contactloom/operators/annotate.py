@@ -12,6 +12,8 @@ from contactloom.operators.network import components
 
 #: Distance up to which the nearest start makes a promoter.
 PROMOTER = 2_000
+#: Bases of a tile whose runs go to a pair's end as one list.
+NEAR = 1 << 14
 
 
 def one_gene_per_start(genes: DataFrame) -> DataFrame:
@@ -183,17 +185,26 @@ def region_targets(edges: DataFrame, genes_of: DataFrame, regions: DataFrame) ->
 
 
 def pair_classes(pets: DataFrame, enhancers: DataFrame, promoters: DataFrame, ext: int = 50) -> DataFrame:
-    """kind and n: cis and trans pairs by what their ends, ``ext`` to both sides, touch: of half-open enhancers and promoters (chrom, start, end)."""
-    p = pets.select("chrom_a", "chrom_b", "x", "y").withColumn("pid", F.monotonically_increasing_id()).checkpoint()
-    side = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("chrom_a").alias("chrom"), F.col("x").alias("pos")), F.struct(F.lit("b").alias("side"), F.col("chrom_b").alias("chrom"), F.col("y").alias("pos"))))
-    tags = p.select("pid", side.alias("e")).select("pid", "e.*")
-    flags = p.select("pid")
-    for kind, known in (("e", enhancers), ("p", promoters)):
+    """kind and n: cis and trans pairs by what their ends, ``ext`` to both sides, touch: of half-open enhancers and promoters (chrom, start, end).
+
+    Each end meets the few runs of its tile as one row, so pairs stay single rows.
+    """
+    known = None
+    for kind, spans in (("e", enhancers), ("p", promoters)):
         # [pos - ext, pos + ext) meets [start, end) where pos is from start - ext + 1 to end + ext - 1
-        grown = intervals.stitch(known.where("start < end").select("chrom", (F.col("start") - ext + 1).alias("start"), (F.col("end") + ext - 1).alias("end")), 0)
-        hit = intervals.hits(tags, "pos", grown.select("chrom", "start", "end")).groupBy("pid").agg(*[F.bool_or(F.col("side") == s).alias(f"{s}{kind}") for s in "ab"])
-        flags = flags.join(hit, "pid", "left")
-    flags = flags.fillna(False)
+        grown = intervals.stitch(spans.where("start < end").select("chrom", (F.col("start") - ext + 1).alias("start"), (F.col("end") + ext - 1).alias("end")), 0)
+        one = grown.select("chrom", "start", "end", F.lit(kind).alias("what"))
+        known = one if known is None else known.unionByName(one)
+    tiles = known.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / NEAR), F.floor(F.col("end") / NEAR))))
+    runs = {k: F.collect_list(F.when(F.col("what") == k, F.struct("start", "end"))) for k in "ep"}
+    tiles = tiles.groupBy("chrom", "tile").agg(*[c.alias(k) for k, c in runs.items()])
+    flags = pets.select("chrom_a", "chrom_b", "x", "y")
+    for side, at in (("a", "x"), ("b", "y")):
+        here = tiles.select(F.col("chrom").alias(f"chrom_{side}"), F.col("tile").alias("_t"), *[F.col(k).alias(f"_{k}") for k in "ep"])
+        flags = flags.withColumn("_t", F.floor(F.col(at) / NEAR)).join(here, [f"chrom_{side}", "_t"], "left")
+        pos = F.col(at)
+        met = {f"{side}{k}": F.coalesce(F.exists(f"_{k}", lambda r: pos.between(r["start"], r["end"])), F.lit(False)) for k in "ep"}
+        flags = flags.withColumns(met).drop("_t", "_e", "_p")
     ae, ap, be, bp = (F.col(c) for c in ("ae", "ap", "be", "bp"))
     name = (
         F.when((ae & bp) | (ap & be), "Enhancer-Promoter").when(ae & be, "Enhancer-Enhancer").when(ap & bp, "Promoter-Promoter")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from contactloom.operators import cluster, estimates, matrix
+from contactloom.operators import annotate, cluster, estimates, matrix
 
 
 def test_components_of_wide_keys(spark):
@@ -55,3 +55,25 @@ def test_noise_by_tiles(spark):
     # a cell moves once: neighbours are not joined
     plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pair_classes_keep_single_rows(spark):
+    rows = spark.range(3_000).selectExpr("concat('c', id % 2) AS chrom_a", "concat('c', id % 3 % 2) AS chrom_b", "id * 7919 % 40000 AS x", "id * 104729 % 40000 AS y")
+    e = [(f"c{i % 2}", i * 611, i * 611 + 20 + i % 300) for i in range(60)] + [("c1", 16_000, 33_500), ("c0", 9, 9)]
+    p = [(f"c{i % 2}", i * 977 + 100, i * 977 + 180) for i in range(40)]
+    e_df, p_df = (spark.createDataFrame(k, "chrom string, start long, end long") for k in (e, p))
+
+    def touches(known, chrom, at):
+        return any(c == chrom and s < f and at - 50 < f and at + 50 > s for c, s, f in known)
+
+    want = {}
+    for r in rows.collect():
+        ae, ap, be, bp = (touches(k, c, v) for c, v in ((r.chrom_a, r.x), (r.chrom_b, r.y)) for k in (e, p))
+        kind = ("Enhancer-Promoter" if (ae and bp) or (ap and be) else "Enhancer-Enhancer" if ae and be else "Promoter-Promoter" if ap and bp
+                else "Enhancer-Other" if ae or be else "Promoter-Other" if ap or bp else "Other-Other")
+        want[kind] = want.get(kind, 0) + 1
+    got = annotate.pair_classes(rows, e_df, p_df)
+    assert {r.kind: r.n for r in got.collect()} == want
+    # pairs are neither written, nor numbered, nor grouped: only their kinds are
+    tops = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Range (" in line]
+    assert len(tops) == 1
