@@ -57,6 +57,14 @@ def test_noise_by_tiles(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_cells_of_neighbours_do_not_fill(spark):
+    # blocks far apart on the diagonal: the extent says little about the density
+    rows = spark.range(20_000).selectExpr("'k' AS key", "(id % 40) * 100000000 + id * 7919 % 30011 AS x", "(id % 40) * 100000000 + 40000 + id * 104729 % 30013 AS y").selectExpr("*", "1L AS c")
+    reach = estimates._crowded(rows, 1_000_000)
+    cells = rows.selectExpr(f"x div {reach} AS u", f"y div {reach} AS v").groupBy("u", "v").count().toPandas()["count"]
+    assert 64 < reach < 10_000 and (cells**2).sum() / cells.sum() <= estimates.CROWD
+
+
 def test_pair_classes_keep_single_rows(spark):
     rows = spark.range(3_000).selectExpr("concat('c', id % 2) AS chrom_a", "concat('c', id % 3 % 2) AS chrom_b", "id * 7919 % 40000 AS x", "id * 104729 % 40000 AS y")
     e = [(f"c{i % 2}", i * 611, i * 611 + 20 + i % 300) for i in range(60)] + [("c1", 16_000, 33_500), ("c0", 9, 9)]
